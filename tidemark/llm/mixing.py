@@ -10,7 +10,7 @@ end, a few at most, follow the others, so that a source gives its target to the
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 # Source weights in turn, the share of all words that the mix takes, most words of a source.
 WEIGHTS = (3, 1, 2)
@@ -149,10 +149,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document taken whole keeps its text; one that a target cuts off keeps its first words, joined by blanks.
     """
-    taken = mix(docs).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.explode(F.array("first_take", "second_take")).alias("__take")).where("__take > 0")
-    numbered = docs.withColumn("__id", F.monotonically_increasing_id())
-    words = F.expr(r"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, cast(__take as int)), ' ')")
-    out = numbered.join(taken, F.col("__id") == F.col("__row")).withColumn("text", F.when(F.col("__take") < F.col("__size"), words).otherwise(F.col("text")))
+    size, take, of, own = (unused(docs, name) for name in ("mix_size", "mix_take", "mix_of", "mix_row"))
+    taken = mix(docs).where("taken > 0").select(F.col("row").alias(of), F.col("size").alias(size), F.explode(F.array("first_take", "second_take")).alias(take)).where(F.col(take) > 0)
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    words = F.expr(rf"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, cast({take} as int)), ' ')")
+    out = numbered.join(taken, F.col(own) == F.col(of)).withColumn("text", F.when(F.col(take) < F.col(size), words).otherwise(F.col("text")))
     return out.select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mapped, mix, shingles
+from .common import Scratch, WordHashes, mapped, mix, shingles, unused
 from .components import components
 
 WORDS = 5
@@ -187,5 +187,6 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
 
 def drop_near(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component, columns unchanged."""
-    dropped = near_dedup(docs, words, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    name = unused(docs, "dropped_id")
+    dropped = near_dedup(docs, words, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col(name), "left_anti")

@@ -196,10 +196,11 @@ def _places(capacity: int, repacked: int):
             out = {"uid": [], "size": [], "bin": [], "offset": [], "open": []}
             for uids, sizes, elite in zip(*(batch.column(c).to_pylist() for c in ("uids", "sizes", "elite")), strict=True):
                 bins = sorted(_groups(elite), key=lambda g: sum(sizes[i] for i in g))
+                again = min(repacked, max(1, len(bins) // 8))
                 for k, items in enumerate(bins):
                     at = 0
                     for i in items:
-                        for c, v in zip(out.values(), (uids[i], sizes[i], uids[items[0]], at, k < repacked), strict=True):
+                        for c, v in zip(out.values(), (uids[i], sizes[i], uids[items[0]], at, k < again), strict=True):
                             c.append(v)
                         at += sizes[i]
             return out
@@ -211,7 +212,7 @@ def _places(capacity: int, repacked: int):
 
 def assign(items: DataFrame, capacity: int, scratch: Scratch, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(uid, sequence_id, offset) for items (uid, size) of less than a full sequence."""
-    done, level = None, 0
+    done, level, before = None, 0, None
     while True:
         n = items.count()
         shards = max(1, -(-n // shard_items))
@@ -224,13 +225,15 @@ def assign(items: DataFrame, capacity: int, scratch: Scratch, shard_items: int =
             guests = evolved.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elite").alias("visitor"))
             state = evolved.join(guests, ["shard", "island"])
         best = evolved.groupBy("shard").agg(F.max_by(F.struct("uids", "sizes", "elite"), F.struct(-F.col("n_bins"), "squares", "island")).alias("best")).select("best.*")
-        last = shards == 1
+        # Where hardly any bin is worth another round, as with a shard that fits one bin, this round is the last.
+        last = shards == 1 or before is not None and 2 * n > before
         placed = scratch.keep(mapped(best, "uid long, size long, bin long, offset long, open boolean", _places(capacity, 0 if last else REPACKED_BINS)), f"level-{level}")
         final = placed.where(~F.col("open")).select("uid", F.col("bin").alias("sequence_id"), "offset")
         done = final if done is None else done.unionByName(final)
         if last:
             return done
         items, level = placed.where("open").select("uid", "size"), level + 1
+        before = n
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:

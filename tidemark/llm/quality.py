@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mapped, mix
+from .common import Scratch, mapped, mix, without_rows
 from .lexicon import Lexicon
 
 BUCKET_BITS = 16
@@ -21,8 +21,8 @@ BUCKETS = 1 << BUCKET_BITS
 FAMILIES = 3
 #: Bound on the labelled documents of each class that fit the target model and the threshold.
 MOST_LABELLED = 20_000
-#: Added to each bucket's count of both models.
-SMOOTHING = 1.0
+#: Added to each bucket's count in the target and to the count expected of it, so that rare n-grams weigh little.
+SMOOTHING = 10.0
 #: Standard of the Gumbel noise against the log weight; small values sample the best, large ones evenly.
 TEMPERATURE = 0.05
 
@@ -112,10 +112,9 @@ def log_ratios(counts: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
         part = slice(k * BUCKETS, (k + 1) * BUCKETS)
         r, t = raw[part], target[part]
         if t.sum() and r.sum():
-            # Unseen buckets have the raw model's probability in proportion to the smoothing
-            prior = (r + smoothing) / (r + smoothing).sum()
-            p = (t + smoothing * BUCKETS * 1e-2 * prior) / (t.sum() + smoothing * BUCKETS * 1e-2)
-            out[part] = np.log(p / prior)
+            # What the target model would count if it were like the raw one, and what it did count.
+            expected = r * (t.sum() / r.sum())
+            out[part] = np.log((t + smoothing) / (expected + smoothing))
     return out
 
 
@@ -152,7 +151,7 @@ def top_k(scored: DataFrame, column: str, k: int) -> float:
 def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
     """row, doc_id, log_weight, n_ngrams, sample_key, kept for each row of ``docs`` (doc_id, text; others are ignored).
 
-    The raw model counts all documents, the target model those labelled good (at most ``most_labelled``). k is the
+    The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``). k is the
     number of documents whose log weight is at or over the threshold that parts the labelled ones best, and the k
     documents with the largest log_weight / scale + temperature * Gumbel noise are kept; noise is a hash of doc_id, so
     that reruns agree. ``row`` is Spark's row id of the input, which has to give the same rows each time.
@@ -163,11 +162,12 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
     scratch = Scratch(spark, "quality")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     good, bad = _labelled(labels, 1, most_labelled), _labelled(labels, 0, most_labelled)
-    targets = spark.sparkContext.broadcast(frozenset(good))  # at most most_labelled identifiers
+    # Half of the good documents fit the target model, the others the threshold: a model favours what it was fitted to.
+    targets = spark.sparkContext.broadcast(frozenset(good[::2]))  # at most most_labelled identifiers
     counts = mapped(rows, "bucket long, raw long, target long", lambda: _Count(targets.value)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     ratios = spark.sparkContext.broadcast(log_ratios(counts).astype(np.float32))  # FAMILIES * BUCKETS values
     scored = scratch.keep(mapped(rows, "row long, doc_id long, log_weight double, n_ngrams long", lambda: _Score(ratios.value)), "scored")
-    known = spark.createDataFrame([(x, 1) for x in good] + [(x, 0) for x in bad], "doc_id long, y int")
+    known = spark.createDataFrame([(x, 1) for x in good[1::2]] + [(x, 0) for x in bad], "doc_id long, y int")
     sample = [(r.log_weight, r.y) for r in scored.join(known, "doc_id").select("log_weight", "y").limit(2 * most_labelled).collect()]
     cut = threshold(sample) if good and bad else -math.inf
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
@@ -181,6 +181,4 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects, columns unchanged."""
-    dropped = quality(docs, labels).where(~F.col("kept")).select(F.col("row").alias("__dropped"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").drop("__row")
+    return without_rows(docs, quality(docs, labels).where(~F.col("kept")))
