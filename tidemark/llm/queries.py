@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
+from . import ann, exact_dedup, mixing, near_dedup, packing, quality, toxicity, warc
 
 
 def _table(spark, d, name):
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest(spark, d):
+    return ann.nearest(_table(spark, d, "embeddings"))
+
+
 def op2_pack(spark, d):
     return packing.pack(_table(spark, d, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -23,10 +27,20 @@ def op4_near_dedup(spark, d):
     return near_dedup.near_dedup(_table(spark, d, "documents"), words=4)
 
 
+def op5_warc(spark, d):
+    archive = warc.write_archive(_table(spark, d, "pages"))
+    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(_table(spark, d, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark, d):
+    scored = toxicity.toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def op9_mix(spark, d):
     return mixing.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,10 +56,13 @@ select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) text_sha256
 """
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_pack": op2_pack,
     "op4_near_dedup": op4_near_dedup,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
 }
-SQL = {"op6_exact_dedup": EXACT_SQL, "op9_mix": mixing.SQL}
+SQL = {"op5_warc": warc.SQL, "op6_exact_dedup": EXACT_SQL, "op9_mix": mixing.SQL}
