@@ -70,11 +70,12 @@ def search_block(ids, x, order, values, query_ids, q, k: int = NEIGHBOURS):
     n, m = len(ids), len(order)
     need = max(1, int(np.ceil(COLLISIONS * m)))
     enough = min(n, k + 1 + max(LEAST_VERIFIED, int(VERIFIED * n)))
-    spread = values.std(axis=1)
     at = q @ lines(x.shape[1], m)[:-1]
+    # Equal values have no deviation, so a window also grows with what the line's values and queries measure.
+    spread = values.std(axis=1) + 1e-3 * np.maximum(np.abs(values).max(axis=1), np.abs(at).max(axis=0)) + 1e-300
     counts: list = [None] * len(q)
     found: list = [None] * len(q)
-    waiting, half, before = np.arange(len(q)), FIRST_WINDOW, None
+    waiting, half, before, steps = np.arange(len(q)), FIRST_WINDOW, None, 0
     while len(waiting):
         windows = np.empty((2, m, len(q)), np.int64)
         for j in range(m):
@@ -94,7 +95,8 @@ def search_block(ids, x, order, values, query_ids, q, k: int = NEIGHBOURS):
                 left.append(i)
             else:
                 counts[i] = None
-        waiting, half, before = np.array(left, np.int64), half * WIDEN, windows
+        steps += 1
+        waiting, half, before = np.array(left, np.int64), half * (WIDEN if steps < 20 else 2), windows
     out = []
     for i, own in enumerate(found):
         own = own[ids[own] != query_ids[i]]

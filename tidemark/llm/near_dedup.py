@@ -7,9 +7,8 @@ T log T / |set| + 1 passes, and the share of equal coordinates estimates the sim
 of independent MinHash. Bands of coordinates give candidates, and whole shingle sets confirm them.
 
 Equal sets are one class. A bucket of m classes isn't expanded into its m * m / 2 pairs: first each class meets
-the smallest class it shares a bucket with, then the smallest of each of its buckets if they aren't yet
-connected, and then only pairs that still lie in different components are left to meet. What is left out is
-connected already, so the components are those of all candidate pairs.
+the smallest of each of its buckets, and then only pairs that still lie in different components are left to
+meet. What is left out is connected already, so the components are those of all candidate pairs.
 """
 
 from collections import OrderedDict
@@ -25,33 +24,42 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 #: 32 bands of 5: a pair at similarity 0.8 is missed with probability 3e-6, at 0.9 with 1e-12.
-COORDINATES = 160
+COORDINATES = 160  # below 256
 ROWS_PER_BAND = 5
 
 #: One for each round, of which the later T stand for one bin each.
 _SEEDS = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_ROUNDS = mix(_SEEDS)
-_32 = np.uint64(32)
+_32, _48, _56 = np.uint64(32), np.uint64(48), np.uint64(56)
+_LOW, _REST = np.uint64((1 << 48) - 1), np.uint64((1 << 56) - 1)
 
 
 def sketch(h: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """The T coordinates of a non-empty set of distinct 64-bit hashes."""
-    out, empty, size = np.zeros(t, np.uint64), np.ones(t, bool), np.uint64(t)
-    for i in range(t):
-        v = np.sort(mix(h ^ _SEEDS[i]))
-        bins = ((v >> _32) * size) >> _32  # ascends with v, so the first of a bin is its smallest
-        first = np.empty(len(v), bool)
+    """The T coordinates of a non-empty set of distinct 64-bit hashes.
+
+    As many rounds as usually fill all bins are thrown at once; of what falls into a bin, the first round's
+    smallest counts, which one sort by bin, round and hash brings to the front.
+    """
+    out, empty, n, size = np.zeros(t, np.uint64), np.ones(t, bool), len(h), np.uint64(t)
+    done = 0
+    while done < t and empty.any():
+        rounds = np.arange(done, min(t, done + max(1, -(-6 * t // n))), dtype=np.uint64)
+        v = mix(h ^ _SEEDS[rounds.astype(np.intp), None])
+        bins = ((v >> _32) * size) >> _32
+        keys = np.sort(((bins << _56) | (rounds[:, None] << _48) | (v & _LOW)).ravel())
+        at = keys >> _56
+        first = np.empty(len(keys), bool)
         first[0] = True
-        np.not_equal(bins[1:], bins[:-1], out=first[1:])
-        at = bins[first].astype(np.intp)
+        np.not_equal(at[1:], at[:-1], out=first[1:])
+        at, keys = at[first].astype(np.intp), keys[first]
         new = empty[at]
         at = at[new]
-        out[at] = v[first][new] ^ _ROUNDS[i]
+        out[at] = mix(keys[new] & _REST)
         empty[at] = False
-        if not empty.any():
-            return out
-    for b in np.flatnonzero(empty):
-        out[b] = mix(h ^ _SEEDS[t + b]).min() ^ _ROUNDS[t + b]
+        done += len(rounds)
+    if empty.any():
+        b = np.flatnonzero(empty)
+        for part in np.array_split(b, max(1, len(b) * n >> 16)):
+            out[part] = mix(mix(h ^ _SEEDS[t + part, None]).min(axis=1) ^ _SEEDS[t + part])
     return out
 
 
@@ -153,17 +161,10 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
         c = comps.select(F.col("node").alias(column), F.col("component").alias(to))
         return members.join(c, column, "left").withColumn(to, F.coalesce(to, column))
 
-    # Each class and the smallest it shares a bucket with.
-    first = scratch.keep(members.groupBy("rep").agg(F.min("leader").alias("a")).where("rep <> a").select("a", F.col("rep").alias("b")), "pairs-1")
+    # Each class and the smallest of each of its buckets.
+    first = scratch.keep(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs-1")
     found = met(first, "links-1")
     comps = scratch.keep(components(found, scratch, "c1"), "components-1")
-    # Each class and the smallest of each of its buckets, where not yet connected.
-    ways = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    ways = ways.join(first, ["a", "b"], "left_anti")
-    second = scratch.keep(labelled(labelled(ways, "a", comps, "ca"), "b", comps, "cb").where("ca <> cb").select("a", "b"), "pairs-2")
-    if not second.isEmpty():
-        found = found.unionByName(met(second, "links-2"))
-        comps = scratch.keep(components(found, scratch, "c2"), "components-2")
     # What is still apart, in buckets that hold several components.
     placed = labelled(members.select("key", "rep", "n", "leader"), "rep", comps, "c")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
@@ -174,11 +175,11 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
         near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader"))
         near = near & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         rest = x.join(y, "key").where(near).select("a", "b").distinct()
-        rest = rest.join(first.unionByName(second), ["a", "b"], "left_anti")
-        third = scratch.keep(rest, "pairs-3")
-        if not third.isEmpty():
-            found = found.unionByName(met(third, "links-3"))
-            comps = scratch.keep(components(found, scratch, "c3"), "components-3")
+        rest = rest.join(first, ["a", "b"], "left_anti")
+        second = scratch.keep(rest, "pairs-2")
+        if not second.isEmpty():
+            found = found.unionByName(met(second, "links-2"))
+            comps = scratch.keep(components(found, scratch, "c2"), "components-2")
     by_set = labelled(classes.select("set", "rep"), "rep", comps, "component_id").select("set", "component_id")
     # A document whose rows hold several texts belongs to the smallest component of any of them.
     joined = signed.join(by_set, "set", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, mixing, near_dedup, packing, quality, toxicity, warc
+from . import ann, exact_dedup, licences, lines, mixing, near_dedup, packing, quality, toxicity, warc
 
 
 def _table(spark, d, name):
@@ -23,6 +23,10 @@ def op2_pack(spark, d):
     return packing.pack(_table(spark, d, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_line_dedup(spark, d):
+    return lines.line_dedup(_table(spark, d, "documents")).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 def op4_near_dedup(spark, d):
     return near_dedup.near_dedup(_table(spark, d, "documents"), words=4)
 
@@ -41,6 +45,10 @@ def op7_toxicity(spark, d):
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op8_licences(spark, d):
+    return licences.scan(licences.document_files(_table(spark, d, "documents"))).drop("row")
+
+
 def op9_mix(spark, d):
     return mixing.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,10 +66,12 @@ select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) text_sha256
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_pack": op2_pack,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_licences": op8_licences,
     "op9_mix": op9_mix,
     "op10_quality": op10_quality,
 }
