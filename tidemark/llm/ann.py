@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, mapped
 
 NEIGHBOURS = 20
-LINES = 80
+LINES = 48
 BLOCK_ROWS = 8192
-CHUNK_ROWS = 512
+CHUNK_ROWS = 1024
 #: Share of the lines on which a vector has to collide with the query.
-COLLISIONS = 0.75
+COLLISIONS = 0.9
 #: Half the first window, in standard deviations of a line's values, and the factor of each widening.
-FIRST_WINDOW = 0.7
+FIRST_WINDOW = 1.2
 WIDEN = 1.12
 #: Vectors verified per block before widening ends, besides the neighbours asked for: share of the block.
-VERIFIED = 0.14
+VERIFIED = 0.2
 LEAST_VERIFIED = 400
 SEED = 20240229
 
@@ -85,7 +85,8 @@ def search_block(ids, x, order, values, query_ids, q, k: int = NEIGHBOURS):
         for i in waiting:
             low, high = windows[0, :, i].tolist(), windows[1, :, i].tolist()
             if before is None:
-                counts[i] = np.bincount(np.concatenate([order[j, low[j] : high[j]] for j in range(m)]), minlength=n)
+                # Windows hold most of a line, so that what lies outside is less to count.
+                counts[i] = m - np.bincount(np.concatenate([a for j in range(m) for a in (order[j, : low[j]], order[j, high[j] :])]), minlength=n)
             else:  # a wider window adds its two margins
                 old_low, old_high = before[0, :, i].tolist(), before[1, :, i].tolist()
                 rims = [order[j, low[j] : old_low[j]] for j in range(m)] + [order[j, old_high[j] : high[j]] for j in range(m)]
@@ -118,7 +119,7 @@ def _search(k: int):
                 if key not in held:
                     held.clear()
                     ids = np.frombuffer(r["ids"], np.int64)
-                    held[key] = ids, np.frombuffer(r["vectors"], float).reshape(len(ids), d), np.frombuffer(r["order"], np.int32).reshape(-1, len(ids)), np.frombuffer(r["values"], float).reshape(-1, len(ids))
+                    held[key] = ids, np.frombuffer(r["vectors"], float).reshape(len(ids), d), np.frombuffer(r["order"], np.int32).reshape(-1, len(ids)).astype(np.intp), np.frombuffer(r["values"], float).reshape(-1, len(ids))
                 query_ids, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"], float).reshape(-1, d)
                 for query_id, (ids, scores) in zip(query_ids, search_block(*held[key], query_ids, q, k), strict=True):
                     out["query_id"] += [query_id] * len(ids)
