@@ -282,3 +282,23 @@ def test_pipeline_end_to_end(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r.length <= 2048 for r in rows)
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_marks_count_differing_coordinates(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, 160, dtype=np.uint64)
+    for changed in (0, 1, 57, 160):
+        other = base.copy()
+        other[:changed] ^= np.uint64(1) + rnd.integers(0, 15, changed, dtype=np.uint64)
+        row = [(near_dedup.sketch_marks(base).tolist(), near_dedup.sketch_marks(other).tolist())]
+        assert spark.createDataFrame(row, "a array<long>, b array<long>").select(near_dedup.differing("a", "b")).first()[0] == changed
+
+
+def test_similar_sets_stay_within_the_marks(spark):
+    rnd = np.random.default_rng(6)
+    for n in (10, 100, 1000):
+        for _ in range(100):
+            h = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = h[: n - n // 10], h[n // 10 :]  # exactly 0.8 of the union is shared
+            x, y = (near_dedup.sketch(np.sort(s)) & np.uint64(15) for s in (a, b))
+            assert (x != y).sum() <= near_dedup.most_differing(0.8)

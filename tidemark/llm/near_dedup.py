@@ -8,14 +8,16 @@ of independent MinHash. Bands of coordinates give candidates, and whole shingle
 
 Equal sets are one class. A bucket of m classes isn't expanded into its m * m / 2 pairs: first each class meets
 the smallest of each of its buckets, and then only pairs that still lie in different components are left to
-meet. What is left out is connected already, so the components are those of all candidate pairs.
+meet. What is left out is connected already, so the components are those of all candidate pairs. Of the pairs
+left, those whose sketches differ by far more than the similarity allows aren't worth reading two texts for.
 """
 
+import math
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mapped, mix, shingles, unused
@@ -71,6 +73,30 @@ def band_keys(coordinates: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_marks(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, as longs."""
+    bits = (coordinates & np.uint64(15)).astype(np.uint8)
+    return ((bits[0::2] << 4) | bits[1::2]).view(np.int64)
+
+
+def most_differing(similarity: float, t: int = COORDINATES) -> int:
+    """Marks in which a pair at ``similarity`` differs: the mean and 5.5 deviations, exceeded with probability 2e-8 or so."""
+    d = (1 - similarity) * 15 / 16
+    return math.ceil(t * d + 5.5 * math.sqrt(t * d * (1 - d)))
+
+
+def differing(a: str, b: str) -> Column:
+    """The number of marks that differ between two columns of marks."""
+
+    def of(k: int) -> Column:
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((of(k) for k in range(1, COORDINATES // 16)), of(0))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, split at ASCII white space, which is what bytes do."""
     return (text or "").encode().lower().split()
@@ -83,15 +109,17 @@ def _signatures(k: int):
         hashes = WordHashes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            sizes, sets, bands = [], [], []
+            sizes, sets, bands, marks = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(hashes(words_of(text)), k)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                bands.append(band_keys(sketch(h)) if len(h) else None)
+                coordinates = sketch(h) if len(h) else None
+                bands.append(band_keys(coordinates) if len(h) else None)
+                marks.append(sketch_marks(coordinates) if len(h) else None)
             flat = np.concatenate([b for b in bands if b is not None]) if any(b is not None for b in bands) else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([0 if b is None else len(b) for b in bands])]).astype(np.int32)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "set": sets, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "set": sets, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "marks": marks}
 
         return run
 
@@ -139,9 +167,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     spark, percent = docs.sparkSession, round(100 * similarity)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep(mapped(rows, "doc_id long, n_shingles long, set binary, bands array<long>", _signatures(words)), "signed")
+    signed = scratch.keep(mapped(rows, "doc_id long, n_shingles long, set binary, bands array<long>, marks array<long>", _signatures(words)), "signed")
     linked = signed.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull())
-    classes = scratch.keep(linked.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.keep(linked.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
 
     # Buckets with at least two classes.
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -168,12 +196,13 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     # What is still apart, in buckets that hold several components.
     placed = labelled(members.select("key", "rep", "n", "leader"), "rep", comps, "c")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
-    apart = scratch.keep(placed.join(open_keys, "key"), "apart")
+    apart = scratch.keep(placed.join(open_keys, "key").join(classes.select("rep", "marks"), "rep"), "apart")
     if not apart.isEmpty():
-        x = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "leader")
-        y = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        x = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("marks").alias("ma"), "leader")
+        y = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("marks").alias("mb"))
         near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader"))
         near = near & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        near = near & (differing("ma", "mb") <= most_differing(similarity))
         rest = x.join(y, "key").where(near).select("a", "b").distinct()
         rest = rest.join(first, ["a", "b"], "left_anti")
         second = scratch.keep(rest, "pairs-2")
