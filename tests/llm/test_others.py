@@ -30,6 +30,44 @@ def test_nearest_recall_and_scores(spark):
     assert np.mean(recalls) >= 0.9
 
 
+def block_recall(ids, x, blocks):
+    """Recall of the queries against brute force, searched block by block with the production settings."""
+    queries = np.flatnonzero(ids % 20 == 0)
+    found = [[] for _ in queries]
+    for rows in blocks:
+        for own, (names, scores) in zip(found, ann.search_block(*ann.index_block(ids[rows], x[rows]), ids[queries], x[queries]), strict=True):
+            own += zip(-scores, names, strict=True)
+    hits = []
+    for q, own in zip(queries, found, strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & {v for _, v in sorted(own)[:20]}) / 20)
+    return np.mean(hits)
+
+
+def blocks_of(x, block_rows):
+    bands = np.array([ann.band(v) for v in x])
+    plan = ann.planned([(x.shape[1], int(b), int((bands == b).sum())) for b in set(bands)], block_rows)
+    first = {b: (f, n) for _, b, f, n in plan}
+    block = np.array([first[b][0] + i % first[b][1] for i, b in enumerate(bands)])
+    return [np.flatnonzero(block == k) for k in range(block.max() + 1)]
+
+
+def test_search_of_whole_blocks_finds_nine_of_ten():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), float)
+    assert len(x) > 4 * ann.LEAST_VERIFIED and block_recall(ids, x, blocks_of(x, ann.BLOCK_ROWS)) >= 0.9
+    rnd = np.random.default_rng(4)
+    one = np.where(np.arange(len(x)) == 7, 20.0, 1.0)
+    for factors in (rnd.lognormal(0, 0.1, len(x)), rnd.lognormal(0, 0.3, len(x)), one):
+        y = x * factors[:, None]
+        assert block_recall(ids, y, blocks_of(y, ann.BLOCK_ROWS)) >= 0.9
+    sizes = [(2, 5, 3), (2, 4, 390), (2, 3, 20_000), (2, 1, 1), (3, 0, 1)]
+    assert ann.planned(sizes, 8192) == [(2, 5, 0, 1), (2, 4, 0, 1), (2, 3, 1, 3), (2, 1, 4, 1), (3, 0, 0, 1)]
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, []), (8, [5.0, 1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0, 2.0]), (40, [float("inf"), 0.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, vector int")

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by collision counting (operator 1).
 
-Largest inner product becomes smallest distance by one added coordinate that gives all vectors the largest norm.
+Largest inner product becomes smallest distance by one added coordinate that gives all vectors of a block the block's
+largest norm; the query is scaled to it too, which leaves its order as it is.
 Each projection on a random line is a sorted array. A query's window on each line is centred on the query's own
 projection and widens step by step (virtual rehashing); a vector that lies in the windows of enough lines at once
 is verified by its exact inner product. Widening ends once enough vectors were verified.
 
-The index is dealt into blocks of a bounded size by a hash, and the query set into chunks. Each pair of block and
-chunk is a task's row; the best of all blocks are merged per query.
+The index is parted into bands of like norms, so that the added coordinate stays small, and a band is dealt into blocks
+of a bounded size by a hash; neighbouring bands of few rows share a block that is verified whole. The query set is dealt
+into chunks. Each pair of block and chunk is a task's row; the best of all blocks are merged per query.
 """
 
 import numpy as np
@@ -17,17 +19,19 @@ from pyspark.sql import functions as F
 from .common import Scratch, mapped
 
 NEIGHBOURS = 20
-LINES = 48
+LINES = 64
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 1024
 #: Share of the lines on which a vector has to collide with the query.
-COLLISIONS = 0.9
+COLLISIONS = 0.8
 #: Half the first window, in standard deviations of a line's values, and the factor of each widening.
-FIRST_WINDOW = 1.2
+FIRST_WINDOW = 0.8
 WIDEN = 1.12
 #: Vectors verified per block before widening ends, besides the neighbours asked for: share of the block.
-VERIFIED = 0.2
+VERIFIED = 0.25
 LEAST_VERIFIED = 400
+#: Largest over smallest norm of a band; unit vectors lie in the middle of one.
+BAND = 1.1
 SEED = 20240229
 
 
@@ -46,23 +50,49 @@ def _valid(column) -> tuple[np.ndarray, np.ndarray | None]:
 def _packed(batch: pa.RecordBatch) -> dict:
     ok, rows = _valid(batch.column("embedding"))
     ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[ok]
-    return {"vec_id": ids, "dimension": [len(v) for v in rows], "norm": [float(np.sqrt((v * v).sum())) for v in rows], "vector": [v.tobytes() for v in rows]}
+    return {"vec_id": ids, "dimension": [len(v) for v in rows], "band": [band(v) for v in rows], "vector": [v.tobytes() for v in rows]}
+
+
+def band(v: np.ndarray) -> int:
+    """Number of the band of norms that a vector lies in."""
+    norm = np.clip(np.sqrt((v * v).sum()), 1e-300, 1e300)
+    return int(np.floor(np.log(norm) / np.log(BAND) + 0.5))
+
+
+def planned(sizes: list[tuple[int, int, int]], block_rows: int) -> list[tuple[int, int, int, int]]:
+    """(dimension, band, first block, blocks) for (dimension, band, rows); blocks are numbered from 0 in each dimension."""
+    groups: list[list] = []  # dimension, rows, bands
+    for dimension, b, n in sorted(sizes, key=lambda s: (s[0], -s[1])):
+        if groups and groups[-1][0] == dimension and groups[-1][1] + n <= min(LEAST_VERIFIED, block_rows):
+            groups[-1][1] += n
+            groups[-1][2].append(b)
+        else:
+            groups.append([dimension, n, [b]])
+    out, used = [], {}
+    for dimension, n, bands in groups:
+        blocks, first = -(-n // block_rows), used.get(dimension, 0)
+        out += [(dimension, b, first, blocks) for b in bands]
+        used[dimension] = first + blocks
+    return out
+
 
+def index_block(ids: np.ndarray, x: np.ndarray):
+    """ids and vectors in the order of ids, and on each line the vectors' order and sorted projections."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    squares = (x * x).sum(axis=1)
+    added = np.sqrt(np.maximum(0, squares.max() - squares))
+    directions = lines(x.shape[1])
+    y = (x @ directions[:-1] + added[:, None] * directions[-1]).T  # line by line
+    by = np.argsort(y, axis=1, kind="stable").astype(np.int32)
+    return ids, x, by, np.take_along_axis(y, by, axis=1)
 
-def _block(m: float):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        dimension = key[1].as_py()
-        ids = table.column("vec_id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), float).reshape(-1, dimension)
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        added = np.sqrt(np.maximum(0, m * m - (x * x).sum(axis=1)))
-        y = (x @ lines(dimension)[:-1] + added[:, None] * lines(dimension)[-1]).T  # line by line
-        by = np.argsort(y, axis=1, kind="stable").astype(np.int32)
-        y = np.take_along_axis(y, by, axis=1)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dimension": pa.array([dimension], pa.int32()), "ids": [ids.tobytes()], "vectors": [x.tobytes()], "order": [by.tobytes()], "values": [y.tobytes()]})
 
-    return run
+def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    dimension = key[1].as_py()
+    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), float).reshape(-1, dimension)
+    ids, x, by, y = index_block(table.column("vec_id").to_numpy(), x)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dimension": pa.array([dimension], pa.int32()), "ids": [ids.tobytes()], "vectors": [x.tobytes()], "order": [by.tobytes()], "values": [y.tobytes()]})
 
 
 def search_block(ids, x, order, values, query_ids, q, k: int = NEIGHBOURS):
@@ -70,7 +100,8 @@ def search_block(ids, x, order, values, query_ids, q, k: int = NEIGHBOURS):
     n, m = len(ids), len(order)
     need = max(1, int(np.ceil(COLLISIONS * m)))
     enough = min(n, k + 1 + max(LEAST_VERIFIED, int(VERIFIED * n)))
-    at = q @ lines(x.shape[1], m)[:-1]
+    norms = np.maximum(np.sqrt((q * q).sum(axis=1)), 1e-300)
+    at = (q * (np.sqrt((x * x).sum(axis=1).max()) / norms)[:, None]) @ lines(x.shape[1], m)[:-1]
     # Equal values have no deviation, so a window also grows with what the line's values and queries measure.
     spread = values.std(axis=1) + 1e-3 * np.maximum(np.abs(values).max(axis=1), np.abs(at).max(axis=0)) + 1e-300
     counts: list = [None] * len(q)
@@ -147,17 +178,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, block_rows
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    packed = scratch.keep(mapped(rows, "vec_id long, dimension int, norm double, vector binary", lambda: _packed), "packed")
-    n, m = packed.agg(F.count("*"), F.max("norm")).first()
-    blocks = max(1, -(-n // block_rows))
-    dealt = packed.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("long"))
-    index = dealt.groupBy("block", "dimension").applyInArrow(_block(m or 0.0), "block long, dimension int, ids binary, vectors binary, order binary, values binary")
+    packed = scratch.keep(mapped(rows, "vec_id long, dimension int, band int, vector binary", lambda: _packed), "packed")
+    sizes = [tuple(r) for r in packed.groupBy("dimension", "band").count().collect()]  # at most some 15,000 bands a dimension
+    n = sum(s[2] for s in sizes)
+    plan = spark.createDataFrame(planned(sizes, block_rows), "dimension int, band int, first int, blocks int")
+    dealt = packed.join(F.broadcast(plan), ["dimension", "band"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks"))).cast("long"))
+    index = dealt.groupBy("block", "dimension").applyInArrow(_block, "block long, dimension int, ids binary, vectors binary, order binary, values binary")
     index = scratch.keep(index, "index")
     queries = packed.where(F.col("vec_id") % every == 0)
     chunks = max(1, -(-n // every // chunk_rows))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("long"))
     asked = asked.groupBy("chunk", "dimension").applyInArrow(_chunk, "dimension int, query_ids binary, queries binary")
-    asked = scratch.keep(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long")), "asked")
+    numbers = plan.groupBy("dimension").agg(F.max(F.col("first") + F.col("blocks")).cast("long").alias("all"))
+    asked = asked.join(F.broadcast(numbers), "dimension").select("dimension", "query_ids", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("block"))
+    asked = scratch.keep(asked, "asked")
     pairs = index.join(asked, ["block", "dimension"]).repartition("block", "query_ids")
     found = scratch.keep(mapped(pairs, "query_id long, vec_id long, score double", _search(k)), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
