@@ -205,3 +205,39 @@ def test_licences_equal_brute_force(spark):
                     best = (score, name)
         want = (best[1], best[0]) if best[0] >= licences.THRESHOLD else (None, None)
         assert got[r.doc_id][0] == want[0] and (want[1] is None or abs(got[r.doc_id][1] - want[1]) < 1e-6)
+
+
+def test_licences_in_wrapped_headers_files_and_long_lines(spark):
+    import textwrap
+
+    def header(name, version, which="General Public License"):
+        text = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {which} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        text += f" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {which} for more details."
+        return f"# {name}.py - a part of {name}\n# Copyright (C) 2019 Jane Roe\n#\n" + textwrap.fill(text, 66, initial_indent="# ", subsequent_indent="# ") + "\n\nimport os\nprint(os.name)\n"
+
+    def opening(title, version):
+        return f"                    {title}\n                       {version}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+
+    rnd = random.Random(3)
+    prose = lambda n: " ".join(f"w{rnd.randrange(4000)}" for _ in range(n))
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"
+    want = {
+        header("a", 3): "GPL-3.0",
+        header("a", 3).replace("\n# ", " "): "GPL-3.0",
+        header("b", 2): "GPL-2.0",
+        header("c", 3, "Lesser General Public License"): "LGPL-3.0",
+        header("d", "2.1", "Lesser General Public License"): "LGPL-2.1",
+        header("e", 3, "Affero General Public License"): "AGPL-3.0",
+        opening("GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"): "GPL-2.0",
+        opening("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"): "GPL-3.0",
+        opening("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"): "LGPL-3.0",
+        mpl: "MPL-2.0",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n": "Apache-2.0",
+        f"{prose(60)} This page is licensed under a Creative Commons Attribution 4.0 International License. {prose(60)}": "CC-BY-4.0",
+        f"{prose(80)} Released under the MIT License. {prose(80)}": "MIT",
+        f"{prose(40)} the version of the public general terms {prose(40)}": None,
+        prose(300): None,
+    }
+    files = [(i, f"f{i}/x", text) for i, text in enumerate(want)] + [(1000 + i, f"g{i}", f"{prose(40)} the of is to version work") for i in range(200)]
+    got = {r.doc_id: r.own_licence for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
