@@ -76,12 +76,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose Spark row ids ``dropped`` (column row) holds, columns unchanged."""
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` written once with a row id, and that column's name.
+
+    Spark plans each scan for the cores present, so ids given by two jobs need not agree; all jobs have to read this table.
+    """
     own = unused(docs, "own_row")
+    return scratch.keep(docs.withColumn(own, F.monotonically_increasing_id()), "numbered"), own
+
+
+def without_rows(docs: DataFrame, own: str, dropped: DataFrame) -> DataFrame:
+    """``docs``, numbered in column ``own``, without the rows that ``dropped`` (column row) holds and without the numbers."""
     other = own + "_dropped"
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(dropped.select(F.col("row").alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
+    return docs.join(dropped.select(F.col("row").alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
 
 
 # Odd multipliers of the splitmix64 finaliser (fixed values).

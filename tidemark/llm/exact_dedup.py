@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, Scratch, mapped, without_rows
+from .common import SPACE_BYTES, Scratch, mapped, numbered, without_rows
 
 TASK_BYTES = 48 << 20
 PARTITION_BYTES = 96 << 20
@@ -234,18 +234,20 @@ class _Own:
             yield out
 
 
-def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES, partition_bytes: int = PARTITION_BYTES, row: str | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Returns row, doc_id, keep_id, group_size, kept, text_sha256. ``row`` is Spark's row id of the input, which
-    has to be a table or another input that gives the same rows in the same partitions each time.
+    Returns row, doc_id, keep_id, group_size, kept, text_sha256. ``row`` is the value of
+    the column ``row`` names, which has to be written; without one the input is written once with a row id.
     Of equal texts that with the most code points stays, then the smallest doc_id (null last), then the first
     row, so that of repeated rows exactly one stays. Null texts are empty texts; all empty or blank texts are
     one group. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", "text"), scratch)
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = scratch.keep(mapped(rows, DIGESTS, _digests), "members")
     local = mapped(rows, CLASSES, lambda: _Combine(task_bytes))
     owners = mapped(local.repartition("n_bytes", "text_sha256"), CLASSES, lambda: _Own(partition_bytes)).drop("body", "n_chars")
@@ -256,4 +258,5 @@ def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES, partition_bytes:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts, columns unchanged."""
-    return without_rows(docs, exact_dedup(docs).where(~F.col("kept")))
+    docs, own = numbered(docs, Scratch(docs.sparkSession, "exact"))
+    return without_rows(docs, own, exact_dedup(docs, row=own).where(~F.col("kept")))

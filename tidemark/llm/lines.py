@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mapped
+from .common import Scratch, WordHashes, mapped, numbered
 
 SIMILARITY = 0.8
 COUNT_BITS = 20
@@ -109,17 +109,19 @@ def _verify(percent: int):
     return make
 
 
-def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
     """row, doc_id, n_lines, removed for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``removed`` lists the numbers, from 0, of the lines whose set of words has a Jaccard similarity of at least
-    ``similarity`` with that of any earlier line; documents are in the order of doc_id (null last), then of Spark's row id,
-    which the input has to give alike each time. Lines without words are never removed. Null and empty texts have
+    ``similarity`` with that of any earlier line; documents are in the order of doc_id (null last), then of row,
+    the column that ``row`` names and that has to be written; without one the input is written once with a row id. Lines without words are never removed. Null and empty texts have
     one line; an empty table gives no rows.
     """
     spark, percent = docs.sparkSession, round(100 * similarity)
     scratch = Scratch(spark, "lines")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", "text"), scratch)
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = mapped(rows, "bucket long, n long", _Counts).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
     table = np.zeros(1 << COUNT_BITS, np.int32)
     table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
@@ -172,9 +174,10 @@ def drop_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the later matches taken out of each text, columns unchanged; null texts stay null."""
     from .common import unused
 
-    own, out = unused(docs, "own_row"), unused(docs, "lines_out")
-    removed = line_dedup(docs, similarity).select(F.col("row").alias(own + "_"), F.col("removed").alias(out)).where(F.size(out) > 0)
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    out = unused(docs, "lines_out")
+    docs, own = numbered(docs, Scratch(docs.sparkSession, "lines"))
+    columns = [c for c in docs.columns if c != own]
+    removed = line_dedup(docs, similarity, row=own).select(F.col("row").alias(own + "_"), F.col("removed").alias(out)).where(F.size(out) > 0)
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(F.col(out), k)), "\n")
-    joined = numbered.join(removed, F.col(own) == F.col(own + "_"), "left")
-    return joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    joined = docs.join(removed, F.col(own) == F.col(own + "_"), "left")
+    return joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept)).select(*columns)

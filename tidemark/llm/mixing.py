@@ -10,7 +10,7 @@ end, a few at most, follow the others, so that a source gives its target to the
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unused
+from .common import Scratch, numbered, unused
 
 # Source weights in turn, the share of all words that the mix takes, most words of a source.
 WEIGHTS = (3, 1, 2)
@@ -104,25 +104,25 @@ def schedule(goals: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     return main.unionByName(late.select((F.col("rank") + slots).alias("slot"), "source_no", "rank"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None) -> DataFrame:
     """row, doc_id, size, source, source_size, target, taken, first_take, second_take for each row of ``docs``.
 
     ``taken`` counts the words that the scheduled blocks take of the document, repeats counted; first_take and
     second_take are those of the stream's first and second round, each from the document's first word on.
     Sources are taken in code point order with null last; null texts have no words; null doc_ids are told apart
-    by Spark's row id, which the input has to give alike each time; rows that share a doc_id count each. An empty
+    by row, the column that ``row`` names and that has to be written, or else a row id of this one scan; rows that share a doc_id count each. An empty
     table gives no rows, and a source without words a target of 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     rows = scratch.keep(sized, "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, weights, share, most)
-    numbered = aims.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))).withColumn("goal", F.floor("target"))
-    numbered = scratch.keep(numbered, "targets")
+    numbers = aims.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))).withColumn("goal", F.floor("target"))
+    numbers = scratch.keep(numbers, "targets")
     placed = streams(rows, scratch)
-    placed = placed.join(numbered, placed["source"].eqNullSafe(numbered["source"])).select("row", "doc_id", placed["source"], "size", "start", "source_size", "target", "source_no", "goal")
+    placed = placed.join(numbers, placed["source"].eqNullSafe(numbers["source"])).select("row", "doc_id", placed["source"], "size", "start", "source_size", "target", "source_no", "goal")
     placed = scratch.keep(placed, "placed")
     # Where a document lies in the first and second round of the stream, cut at block edges.
     rounds = F.array(F.struct(F.lit(1).alias("round"), F.col("start").alias("from")), F.struct(F.lit(2).alias("round"), (F.col("start") + F.col("source_size")).alias("from")))
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
     low = F.greatest(F.col("from"), F.col("rank") * block)
     high = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block, F.col("goal"))
     parts = parts.select("row", "source_no", "rank", "round", (high - low).alias("words"))
-    plan = schedule(numbered.select("source_no", "goal"), block, scratch)
+    plan = schedule(numbers.select("source_no", "goal"), block, scratch)
     got = parts.join(plan, ["source_no", "rank"]).groupBy("row").agg(
         F.sum("words").alias("taken"),
         F.sum(F.when(F.col("round") == 1, F.col("words")).otherwise(0)).alias("first_take"),
@@ -149,12 +149,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document taken whole keeps its text; one that a target cuts off keeps its first words, joined by blanks.
     """
-    size, take, of, own = (unused(docs, name) for name in ("mix_size", "mix_take", "mix_of", "mix_row"))
-    taken = mix(docs).where("taken > 0").select(F.col("row").alias(of), F.col("size").alias(size), F.explode(F.array("first_take", "second_take")).alias(take)).where(F.col(take) > 0)
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    size, take, of = (unused(docs, name) for name in ("mix_size", "mix_take", "mix_of"))
+    columns = docs.columns
+    docs, own = numbered(docs, Scratch(docs.sparkSession, "mix"))
+    taken = mix(docs, row=own).where("taken > 0").select(F.col("row").alias(of), F.col("size").alias(size), F.explode(F.array("first_take", "second_take")).alias(take)).where(F.col(take) > 0)
     words = F.expr(rf"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, cast({take} as int)), ' ')")
-    out = numbered.join(taken, F.col(own) == F.col(of)).withColumn("text", F.when(F.col(take) < F.col(size), words).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    out = docs.join(taken, F.col(own) == F.col(of)).withColumn("text", F.when(F.col(take) < F.col(size), words).otherwise(F.col("text")))
+    return out.select(*columns)
 
 
 SQL = r"""

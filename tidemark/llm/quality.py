@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mapped, mix, without_rows
+from .common import Scratch, mapped, mix, numbered, without_rows
 from .lexicon import Lexicon
 
 BUCKET_BITS = 16
@@ -148,19 +148,22 @@ def top_k(scored: DataFrame, column: str, k: int) -> float:
     return prefix / 1e6
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, row: str | None = None) -> DataFrame:
     """row, doc_id, log_weight, n_ngrams, sample_key, kept for each row of ``docs`` (doc_id, text; others are ignored).
 
     The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``). k is the
     number of documents whose log weight is at or over the threshold that parts the labelled ones best, and the k
     documents with the largest log_weight / scale + temperature * Gumbel noise are kept; noise is a hash of doc_id, so
-    that reruns agree. ``row`` is Spark's row id of the input, which has to give the same rows each time.
+    that reruns agree. ``row`` is the value of the column ``row`` names, which has to be written; without one the input is
+    written once with a row id.
     Null and empty texts weigh 0 as any without words; without labels of both kinds nothing is dropped. Ties at the k-th
     place are all kept. Null doc_ids share one noise value; repeated rows are scored each. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", "text"), scratch)
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     good, bad = _labelled(labels, 1, most_labelled), _labelled(labels, 0, most_labelled)
     # Half of the good documents fit the target model, the others the threshold: a model favours what it was fitted to.
     targets = spark.sparkContext.broadcast(frozenset(good[::2]))  # at most most_labelled identifiers
@@ -181,4 +184,5 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects, columns unchanged."""
-    return without_rows(docs, quality(docs, labels).where(~F.col("kept")))
+    docs, own = numbered(docs, Scratch(docs.sparkSession, "quality"))
+    return without_rows(docs, own, quality(docs, labels, row=own).where(~F.col("kept")))
