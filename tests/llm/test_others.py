@@ -68,6 +68,23 @@ def test_search_of_whole_blocks_finds_nine_of_ten():
     assert ann.planned(sizes, 8192) == [(2, 5, 0, 1), (2, 4, 0, 1), (2, 3, 1, 3), (2, 1, 4, 1), (3, 0, 0, 1)]
 
 
+def test_nearest_recall_where_a_share_of_a_block_is_verified(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    assert len(x) > 2 * (ann.NEIGHBOURS + 1 + max(ann.LEAST_VERIFIED, int(ann.VERIFIED * len(x))))
+    for y in (x, x * np.random.default_rng(9).lognormal(0, 0.1, len(x))[:, None]):
+        rows = [(int(i), v.tolist()) for i, v in zip(ids, y, strict=True)]
+        got = {}
+        for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        recalls = []
+        for q in np.flatnonzero(ids % 20 == 0):
+            s = y @ y[q]
+            s[q] = -np.inf
+            recalls.append(len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & got[ids[q]]) / 20)
+        assert np.mean(recalls) >= 0.9
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, []), (8, [5.0, 1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0, 2.0]), (40, [float("inf"), 0.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, vector int")
