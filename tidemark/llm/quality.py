@@ -153,8 +153,9 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
 
     The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``). k is the
     number of documents whose log weight is at or over the threshold that parts the labelled ones best, and the k
-    documents with the largest log_weight / scale + temperature * Gumbel noise are kept; noise is a hash of doc_id, so
-    that reruns agree. ``row`` is the value of the column ``row`` names, which has to be written; without one the input is
+    documents with the largest log_weight + temperature * Gumbel noise are kept; noise is a hash of doc_id, so that reruns
+    agree. The log weight is a sum over the text in nats, so the default temperature makes this a threshold but for
+    documents within a fraction of a nat of it. ``row`` is the value of the column ``row`` names, which has to be written; without one the input is
     written once with a row id.
     Null and empty texts weigh 0 as any without words; without labels of both kinds nothing is dropped. Ties at the k-th
     place are all kept. Null doc_ids share one noise value; repeated rows are scored each. An empty table gives no rows.
