@@ -132,6 +132,78 @@ def test_near_duplicates_in_one_chain_and_one_crowd(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_too_far_from_their_leader(spark):
+    """A crowd whose members are mostly no links of the base: those that share edits are links of one another."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(0, " ".join(base))]
+    for family in range(12):
+        own = list(base)
+        for j in rnd.sample(range(150), rnd.randint(6, 9)):
+            own[j] = f"f{family}-{j}"
+        for _ in range(rnd.randint(1, 6)):
+            text = list(own)
+            for j in rnd.sample(range(150), rnd.randint(0, 5)):
+                text[j] = f"x{len(docs)}-{j}"
+            docs.append((len(docs), " ".join(text[: rnd.randint(120, 150)])))
+    for k in range(20):  # parts of the base, of any length
+        docs.append((len(docs), " ".join(base[k // 4 : 60 + 4 * k])))
+    rnd.shuffle(docs)
+    want = brute_components(docs, 5, 80)
+    got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 3 < len({c for _, c in want.values()}) < len(docs) - 20
+
+
+def test_prefixes_of_differences_miss_no_similar_pair():
+    rnd = np.random.default_rng(4)
+    met = 0
+    for _ in range(3000):
+        leader = rnd.choice(1000, rnd.integers(20, 60), replace=False)
+
+        def edited(of):
+            n = rnd.integers(0, 25)
+            return np.unique(np.concatenate([rnd.permutation(of)[rnd.integers(0, max(1, min(n, len(of) - 5))) :], rnd.choice(60, n) + 2000])).astype(np.uint64)
+
+        x = edited(leader)
+        y = edited(x) if rnd.random() < 0.7 else edited(leader)
+        leader = np.unique(leader).astype(np.uint64)
+
+        def similar(a, b):
+            both = len(np.intersect1d(a, b))
+            return 100 * both >= 80 * (len(a) + len(b) - both)
+
+        lx, ly = similar(leader, x), similar(leader, y)
+        if not similar(x, y) or lx and ly:
+            continue
+        met += 1
+        dx, dy = np.setxor1d(x, leader), np.setxor1d(y, leader)
+        (px, py) = near_dedup.prefix_length(np.array([len(x), len(y)]), np.array([len(leader)] * 2), np.array([len(dx), len(dy)]), np.array([lx, ly]), 80)
+        order = {e: k for k, e in enumerate(rnd.permutation(3000))}
+        dx, dy = (sorted(d.tolist(), key=order.get) for d in (dx, dy))
+        need = (len(dx) + len(dy) - (len(x) + len(y)) / 9) / 2 - 1e-6
+        assert any(dx[i] == dy[j] and min(len(dx) - i, len(dy) - j) >= need for i in range(px) for j in range(py))
+    assert met > 100
+
+
+def test_near_duplicates_of_documents_with_several_texts(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    c = " ".join(f"c{i}" for i in range(40))
+    schema = "doc_id long, text string"
+    rows = [(5, a), (9, a), (9, c), (3, c), (9, None), (4, None), (4, "")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(spark.createDataFrame(rows, schema)).collect()}
+        assert got == {(5, 3), (9, 3), (3, 3), (4, 4)}
+    # Two texts of one document, as long as each other, of which each has a partner.
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z")]
+    assert len(a) == len(b)
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(spark.createDataFrame(order, schema)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_sketch_fills_and_estimates():
     rnd = np.random.default_rng(1)
     for n in (1, 3, 50, 160, 5000):
@@ -284,26 +356,6 @@ def test_pipeline_end_to_end(spark):
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
-def test_marks_count_differing_coordinates(spark):
-    rnd = np.random.default_rng(5)
-    base = rnd.integers(0, 1 << 63, 160, dtype=np.uint64)
-    for changed in (0, 1, 57, 160):
-        other = base.copy()
-        other[:changed] ^= np.uint64(1) + rnd.integers(0, 15, changed, dtype=np.uint64)
-        row = [(near_dedup.sketch_marks(base).tolist(), near_dedup.sketch_marks(other).tolist())]
-        assert spark.createDataFrame(row, "a array<long>, b array<long>").select(near_dedup.differing("a", "b")).first()[0] == changed
-
-
-def test_similar_sets_stay_within_the_marks(spark):
-    rnd = np.random.default_rng(6)
-    for n in (10, 100, 1000):
-        for _ in range(100):
-            h = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
-            a, b = h[: n - n // 10], h[n // 10 :]  # exactly 0.8 of the union is shared
-            x, y = (near_dedup.sketch(np.sort(s)) & np.uint64(15) for s in (a, b))
-            assert (x != y).sum() <= near_dedup.most_differing(0.8)
-
-
 def test_rows_keep_their_numbers_when_scans_are_planned_anew(spark, tmp_path, monkeypatch):
     from tidemark.llm import lines
     from tidemark.llm.common import Scratch

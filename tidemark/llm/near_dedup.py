@@ -7,17 +7,16 @@ T log T / |set| + 1 passes, and the share of equal coordinates estimates the sim
 of independent MinHash. Bands of coordinates give candidates, and whole shingle sets confirm them.
 
 Equal sets are one class. A bucket of m classes isn't expanded into its m * m / 2 pairs: first each class meets
-the smallest of each of its buckets, and then only pairs that still lie in different components are left to
-meet. What is left out is connected already, so the components are those of all candidate pairs. Of the pairs
-left, those whose sketches differ by far more than the similarity allows aren't worth reading two texts for.
+the leader, the smallest of each of its buckets, by whole sets. Two classes x, y with the same leader then differ
+in D(x) ^ D(y), where D is what a class's set and the leader's don't share. If one of them lies too far from the
+leader to be linked with it, D(x) and D(y) have to share so many elements that prefixes of both meet (elements
+that few classes of the leader have come first), which is an exact set-similarity join on the differences. Pairs in
+one component already are left out. So the components are those of all candidate pairs.
 """
 
-import math
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mapped, mix, shingles, unused
@@ -28,6 +27,8 @@ SIMILARITY = 0.8
 #: 32 bands of 5: a pair at similarity 0.8 is missed with probability 3e-6, at 0.9 with 1e-12.
 COORDINATES = 160  # below 256
 ROWS_PER_BAND = 5
+#: Buckets of the table that counts elements of differences, a bound on what is broadcast.
+COUNT_BITS = 20
 
 #: One for each round, of which the later T stand for one bin each.
 _SEEDS = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -73,30 +74,6 @@ def band_keys(coordinates: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch_marks(coordinates: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, as longs."""
-    bits = (coordinates & np.uint64(15)).astype(np.uint8)
-    return ((bits[0::2] << 4) | bits[1::2]).view(np.int64)
-
-
-def most_differing(similarity: float, t: int = COORDINATES) -> int:
-    """Marks in which a pair at ``similarity`` differs: the mean and 5.5 deviations, exceeded with probability 6e-8 at 0.8 if coordinates are independent."""
-    d = (1 - similarity) * 15 / 16
-    return math.ceil(t * d + 5.5 * math.sqrt(t * d * (1 - d)))
-
-
-def differing(a: str, b: str) -> Column:
-    """The number of marks that differ between two columns of marks."""
-
-    def of(k: int) -> Column:
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return sum((of(k) for k in range(1, COORDINATES // 16)), of(0))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased, split at ASCII white space, which is what bytes do."""
     return (text or "").encode().lower().split()
@@ -109,110 +86,180 @@ def _signatures(k: int):
         hashes = WordHashes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            sizes, sets, bands, marks = [], [], [], []
+            sizes, sets, bands = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(hashes(words_of(text)), k)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                coordinates = sketch(h) if len(h) else None
-                bands.append(band_keys(coordinates) if len(h) else None)
-                marks.append(sketch_marks(coordinates) if len(h) else None)
-            flat = np.concatenate([b for b in bands if b is not None]) if any(b is not None for b in bands) else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([0 if b is None else len(b) for b in bands])]).astype(np.int32)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "set": sets, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "marks": marks}
+                bands.append(band_keys(sketch(h)) if len(h) else None)
+            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "set": sets, "bands": lists(bands)}
 
         return run
 
     return make
 
 
-def _confirm(k: int, percent: int):
+def lists(arrays: list) -> pa.Array:
+    """A list column of NumPy arrays of longs; none stands for an empty one."""
+    arrays = [np.zeros(0, np.int64) if a is None else a.view(np.int64) for a in arrays]
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _sets(k: int):
+    """The whole shingle sets of texts."""
+
     def make():
-        hashes, recent = WordHashes(), OrderedDict()
+        import xxhash
 
-        def of(doc_id: int, text: str) -> np.ndarray:
-            key = (doc_id, len(text or ""))
-            h = recent.get(key)
-            if h is None:
-                h = recent[key] = shingles(hashes(words_of(text)), k)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return h
+        hashes = WordHashes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            a, b = [], []
-            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                hx, hy = of(x, tx), of(y, ty)
-                if 100 * min(len(hx), len(hy)) < percent * max(len(hx), len(hy)):
-                    continue
-                both = len(np.intersect1d(hx, hy, assume_unique=True))
-                if 100 * both >= percent * (len(hx) + len(hy) - both):
-                    a.append(x)
-                    b.append(y)
-            return {"a": a, "b": b}
+            sets = [shingles(hashes(words_of(text)), k) for text in batch.column("text").to_pylist()]
+            return {"set": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "h": lists(sets)}
 
         return run
 
     return make
 
 
+def prefix_length(n: np.ndarray, leader: np.ndarray, d: np.ndarray, linked: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first elements of a difference of size ``d`` have to be indexed.
+
+    A pair at the similarity differs in at most (100 - p) / (100 + p) of the sum of both sizes, and a class that
+    isn't linked with the leader differs from it in more than that share of theirs. A partner of a linked class
+    isn't linked, so they share over half of d, give or take the sizes; of the classes that aren't, a partner may be.
+    """
+    half = (d + (n - leader) * (100 - percent) / (100 + percent)) / 2
+    most = n * (100 - percent) / percent
+    return np.minimum(d, np.floor(np.where(linked, half, most) + 1e-9) + 1).astype(np.int64)
+
+
+def _prefixes(counts: np.ndarray, percent: int):
+    """The entries of the prefix index: per element of a class's prefix its place in it."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            d = batch.column("d")
+            values, ends = d.flatten().to_numpy().view(np.uint64), np.asarray(d.offsets)
+            ends = ends - ends[0]
+            sizes = np.diff(ends)
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb", "group", "linked")}
+            length = prefix_length(columns["nb"], columns["na"], sizes, columns["linked"].astype(bool), percent)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            often = counts[slot(values, columns["group"].view(np.uint64)[owner])]
+            order = np.lexsort((values, often, owner))
+            place = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
+            # An element that only one class of the leader has can't be shared; its place still counts.
+            wanted = (place < length[owner]) & (often[order] > 1)
+            owner, at = owner[wanted], order[wanted]
+            taken = {c: batch.column(c).take(pa.array(owner)) for c in ("a", "b", "c", "nb", "linked")}
+            return taken | {"element": values[at].view(np.int64), "nd": sizes[owner], "place": place[wanted]}
+
+        return run
+
+    return make
+
+
+def slot(elements: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Where the count of an element of a leader's classes stands in the table of fixed size."""
+    return (mix(elements ^ mix(groups)) >> np.uint64(64 - COUNT_BITS)).astype(np.intp)
+
+
+class _Counts:
+    def __init__(self):
+        self.table = np.zeros(1 << COUNT_BITS, np.int64)
+
+    def __call__(self, batch: pa.RecordBatch):
+        d = batch.column("d")
+        values, sizes = d.flatten().to_numpy().view(np.uint64), np.diff(np.asarray(d.offsets))
+        self.table += np.bincount(slot(values, np.repeat(batch.column("group").to_numpy().view(np.uint64), sizes)), minlength=len(self.table))
+
+    def end(self):
+        at = np.flatnonzero(self.table)
+        yield {"bucket": at, "n": self.table[at]}
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents with a Jaccard similarity of at least ``similarity`` on their sets of ``words``-word shingles are
     linked; component_id is the smallest doc_id reachable, and kept says that it is the row's own. Texts
     without words, and null texts, link with nothing. Rows with a null doc_id take no part: null component_id,
-    kept. Rows that share a doc_id are one document. An empty table gives no rows.
+    kept. Rows that share a doc_id are one document, linked with whatever any of them is. An empty table gives no rows.
     """
     spark, percent = docs.sparkSession, round(100 * similarity)
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep(mapped(rows, "doc_id long, n_shingles long, set binary, bands array<long>, marks array<long>", _signatures(words)), "signed")
-    linked = signed.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull())
-    classes = scratch.keep(linked.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
-
-    # Buckets with at least two classes.
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1").drop("size")
-    members = scratch.keep(banded.join(shared, "key"), "members")
-    nodes = members.select("rep").distinct()
-    texts = scratch.keep(rows.join(nodes, rows.doc_id == nodes.rep, "left_semi"), "texts")
-
-    def met(pairs: DataFrame, name: str) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        # a is the class that many share; sorted by it, a task hashes its text once
-        sides = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
-        return scratch.keep(mapped(sides, "a long, b long", _confirm(words, percent)), name)
-
-    def labelled(members: DataFrame, column: str, comps: DataFrame, to: str) -> DataFrame:
-        c = comps.select(F.col("node").alias(column), F.col("component").alias(to))
-        return members.join(c, column, "left").withColumn(to, F.coalesce(to, column))
-
-    # Each class and the smallest of each of its buckets.
-    first = scratch.keep(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs-1")
-    found = met(first, "links-1")
-    comps = scratch.keep(components(found, scratch, "c1"), "components-1")
-    # What is still apart, in buckets that hold several components.
-    placed = labelled(members.select("key", "rep", "n", "leader"), "rep", comps, "c")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("key")
-    apart = scratch.keep(placed.join(open_keys, "key").join(classes.select("rep", "marks"), "rep"), "apart")
+    signed = scratch.keep(mapped(rows, "doc_id long, n_shingles long, set binary, bands array<long>", _signatures(words)), "signed")
+    known = signed.where(F.col("doc_id").isNotNull())
+    classes = scratch.keep(known.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")), "classes")
+    # A class is known by its set, and as a node by its smallest doc_id, so a document with several texts joins theirs.
+    several = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("set").alias("with"), F.min("set").alias("low"), F.max("set").alias("high"))
+    several = several.where("rows > 1 and (low <> high or (with > 0 and with < rows))").select("doc_id")
+    same = known.join(several, "doc_id").join(classes.select("set", "rep"), "set").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    same = scratch.keep(same.distinct(), "several")
+
+    # Each class and the leader of each of its buckets.
+    banded = classes.select(F.struct("rep", "set").alias("node"), F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
+    met = banded.join(shared, "key").where("node <> leader").select(F.col("leader.set").alias("a"), F.col("node.set").alias("b")).distinct()
+    met = scratch.keep(met, "met")
+    nodes = met.select(F.col("a").alias("set")).unionByName(met.select(F.col("b").alias("set"))).distinct()
+    nodes = scratch.keep(nodes.join(classes.select("set", "rep", "n"), "set"), "nodes")
+    # A document with several texts gives sets that nobody asked for, which the join leaves out.
+    texts = rows.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = mapped(texts, "set binary, h array<long>", _sets(words)).dropDuplicates(["set"])
+    sets = scratch.keep(nodes.join(sets, "set"), "sets")
+
+    both = F.size(F.array_intersect("ha", "hb"))
+    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("set").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("h").alias("ha"))
+        right = sets.select(F.col("set").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+        return pairs.join(right, "b").join(left, "a")
+
+    first = sides(met).withColumn("both", both).withColumn("linked", linked)
+    first = first.withColumn("d", F.concat(F.array_except("hb", "ha"), F.array_except("ha", "hb")))
+    first = scratch.keep(first.select("a", "b", "ra", "rb", "na", "nb", "linked", "d", F.xxhash64("a").alias("group")), "first")
+    links = first.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same)
+    comps = scratch.keep(components(links, scratch, "c1"), "components-1")
+
+    # Leaders some of whose classes are still apart, one of them at least not linked with the leader.
+    placed = first.select("a", "b", "rb", "na", "nb", "linked", "group", "d").join(comps.select(F.col("node").alias("rb"), "component"), "rb", "left").withColumn("c", F.coalesce("component", "rb"))
+    open_groups = placed.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("a")
+    apart = scratch.keep(placed.join(open_groups, "a", "left_semi").select("a", "b", "c", "na", "nb", "linked", "group", "d"), "apart")
     if not apart.isEmpty():
-        x = apart.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("marks").alias("ma"), "leader")
-        y = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("marks").alias("mb"))
-        near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader"))
-        near = near & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        near = near & (differing("ma", "mb") <= most_differing(similarity))
-        rest = x.join(y, "key").where(near).select("a", "b").distinct()
-        rest = rest.join(first, ["a", "b"], "left_anti")
-        second = scratch.keep(rest, "pairs-2")
-        if not second.isEmpty():
-            found = found.unionByName(met(second, "links-2"))
-            comps = scratch.keep(components(found, scratch, "c2"), "components-2")
-    by_set = labelled(classes.select("set", "rep"), "rep", comps, "component_id").select("set", "component_id")
-    # A document whose rows hold several texts belongs to the smallest component of any of them.
-    joined = signed.join(by_set, "set", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        counted = mapped(apart.select("group", "d"), "bucket long, n long", _Counts).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
+        table = np.zeros(1 << COUNT_BITS, np.int32)
+        table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
+        often = spark.sparkContext.broadcast(table)
+        entries = mapped(apart, "a binary, b binary, c long, nb int, linked boolean, element long, nd int, place int", _prefixes(often.value, percent))
+        entries = scratch.keep(entries, "entries")
+        x = entries.select("a", "element", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("nb").alias("nx"), F.col("nd").alias("dx"), F.col("place").alias("ix"), F.col("linked").alias("lx"))
+        y = entries.select("a", "element", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("nb").alias("ny"), F.col("nd").alias("dy"), F.col("place").alias("iy"), F.col("linked").alias("ly"))
+        # Elements of the differences that the pair has to share, and what the places leave possible.
+        need = (F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny")) * (100 - percent) / (100 + percent)) / 2 - 1e-6
+        near = ~F.col("lx") & (F.col("ly") | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy"))
+        near = near & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+        near = near & (F.least(F.col("dx") - F.col("ix"), F.col("dy") - F.col("iy")) >= need)
+        rest = scratch.keep(x.join(y, ["a", "element"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "rest")
+        if not rest.isEmpty():
+            second = sides(rest).withColumn("both", both).where(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            second = scratch.keep(second, "second")
+            if not second.isEmpty():
+                comps = scratch.keep(components(links.unionByName(second), scratch, "c2"), "components-2")
+
+    label = comps.select("node", "component")
+    by_set = classes.select("set", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component"))
+    # A row without words has no class, but another row of its document may have one.
+    bare = several.join(label, F.col("doc_id") == F.col("node")).select("doc_id", "component")
+    out = known.where(F.col("set").isNotNull()).join(by_set, "set").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(known.where(F.col("set").isNull()).join(bare, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
+    out = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    nobody = signed.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(nobody)
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
