@@ -127,6 +127,50 @@ def test_lines_equal_brute_force(spark):
     assert {r.doc_id: r.removed for r in got} == brute_lines(real)
 
 
+def test_words_by_arrays_equal_split():
+    rnd = random.Random(9)
+    for piece in (7, 1 << 16):
+        for _ in range(200):
+            data = bytes(rnd.choice(b" \t\n\x0b\x0c\r\x1c\x85abcdefgA\xc3\xa9\0") for _ in range(rnd.randrange(200))) + rnd.choice([b"", b"x" * 300, b"\n"])
+            lines._PIECE, kept = piece, lines._PIECE
+            try:
+                h, at = lines.word_hashes(data)
+            finally:
+                lines._PIECE = kept
+            want = [(k, w) for k, line in enumerate(data.split(b"\n")) for w in line.split()]
+            assert at.tolist() == [k for k, _ in want]
+            by = dict(zip([w for _, w in want], h.tolist(), strict=True))
+            assert [by[w] for _, w in want] == h.tolist() and len(set(by.values())) == len(by)
+
+
+def test_bitmaps_bound_the_difference():
+    rnd = np.random.default_rng(3)
+    for n in (1, 10, 300):
+        x = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x[n // 5 :], rnd.integers(0, 1 << 63, n // 7).astype(np.uint64)])
+        halves = [(lines.parities(x, np.array([0]), k) ^ lines.parities(y, np.array([0]), k))[0] for k in (0, 1)]
+        assert sum(int(v).bit_count() for v in halves) <= len(np.setxor1d(x, y))
+
+
+def test_lines_of_crowds_equal_brute_force(spark):
+    """Words of very many similar lines, met by leaders, by pairs, and handed on at once."""
+    rnd = random.Random(12)
+    docs = []
+    for i in range(150):
+        text = []
+        for base in range(4):
+            words = [f"b{base}-{k}" for k in range(30)]
+            for k in rnd.sample(range(30), rnd.randint(0, 7)):
+                words[k] = f"x{i % 40}-{k}"
+            text.append(" ".join(words[: rnd.randint(22, 30)]))
+        docs.append((i, "\n".join(text)))
+    want = brute_lines(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for common, each in ((4096, 2), (4096, 0.01), (20, 2)):
+        assert {r.doc_id: r.removed for r in lines.line_dedup(table, common=common, most_each=each).collect()} == want
+    assert 100 < sum(map(len, want.values())) < 580
+
+
 def test_lines_odd_rows(spark):
     docs = odd_documents(spark)
     out = lines.drop_lines(docs)

@@ -42,8 +42,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def mapped(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict | None]]) -> DataFrame:
-    """``df`` through a function of batches that is made anew in each task. A dict of columns takes its types from the schema."""
+def mapped(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict | Iterator[dict] | None]]) -> DataFrame:
+    """``df`` through a function of batches that is made anew in each task, and gives none, one or several. A dict of columns takes its types from the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -53,8 +53,8 @@ def mapped(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBat
         f = make()
         for b in batches:
             out = f(b)
-            if out is not None:
-                yield record(out, arrow)
+            for part in (out,) if isinstance(out, dict | pa.RecordBatch) else out or ():
+                yield record(part, arrow)
         end = getattr(f, "end", None)
         if end is not None:
             for out in end():

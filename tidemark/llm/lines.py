@@ -3,171 +3,453 @@
 Lines are sets of words. Words are ordered by rarity, counted in a table of fixed size by hash, so that the order
 is one for all lines however large the vocabulary. Two lines that are similar enough share a word among the first
 few of each (prefix filter); length, position and a bitmap bound their overlap further, and the whole sets decide.
-Equal sets are one class with one first line. A class first meets the earliest class of each of its words; only
-those that found no earlier partner there meet all earlier classes of their words.
+Equal sets are one class with one first line.
+
+Texts are split and hashed by arrays, three times: for the lines and the counts, for the prefixes, and for the whole
+sets of candidates, which costs less than to store all sets. Entries of the prefix index travel in blocks that hold
+a part of the words each, so that a part's entries are sorted and compared as arrays. A word that very many lines
+have isn't compared pair by pair: each of its lines meets the earliest one, its leader, and what is not similar to
+that meets the others by a prefix join on the differences from the leader, as near_dedup does it.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mapped, numbered
+from .common import SPACE_BYTES, Scratch, mapped, mix, numbered
+from .near_dedup import COUNT_BITS, difference_pairs
 
 SIMILARITY = 0.8
-COUNT_BITS = 20
-FILTER_BITS = 20
+#: Sets that a task remembers.
+MOST_SEEN = 200_000
 _SHIFT = np.uint64(64 - COUNT_BITS)
+_SLICE_BITS = 14
+#: A word counted in more lines is met by leaders at once; a part's groups never exceed it.
+COMMON = 4096
+#: A word whose lines give more candidates each, on average, is met by leaders too.
+MOST_EACH = 2
+#: Entries of a part, about.
+PART_ENTRIES = 1 << 18
+#: Bytes of text that are split at once.
+_TEXT_BYTES = 1 << 20
+
+#: What a row of the table of lines is: a line (its number), a document, or a slice of word counts.
+DOCUMENT, COUNTS = -1, -2
+LINES = "row long, doc_id long, line int, n int, k long, bits long, counts binary"
+ENTRY = np.dtype([("word", "<u8"), ("k", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("n", "<u4"), ("place", "<u4")])
+
+
+_SPACE = bytes(x in SPACE_BYTES for x in range(256))
+_FIND_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE = 1 << 16
+#: Which of eight bytes count, by how many are left of a word; the first byte is the lowest.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD, _32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text and the line that each is in, by arrays.
+
+    Words are taken in eight bytes at a time, all words at once; only those that are longer go on. Long texts go by
+    pieces that end at white space.
+    """
+    hashes, lines, at, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(data):
+        end = _FIND_SPACE.search(data, at + _PIECE)
+        to = end.start() if end else len(data)
+        part = data[at:to]
+        edges = np.flatnonzero(np.diff(np.frombuffer(part.translate(_SPACE), bool), prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]
+        # Eight bytes from any place on.
+        eight = np.ndarray(len(part) + 1, "<u8", part + bytes(8), strides=(1,))
+        left, own = last - first, None
+        h = left.astype(np.uint64) * _ODD
+        while len(left):
+            got = eight[first] & _MASKS[np.minimum(left, 8)]
+            if own is None:
+                h = (h ^ got) * _ODD
+                h ^= h >> _32
+                on = np.flatnonzero(left > 8)
+                own = on
+            else:
+                more = (h[own] ^ got) * _ODD
+                h[own] = more ^ (more >> _32)
+                on = np.flatnonzero(left > 8)
+                own = own[on]
+            first, left = first[on] + 8, left[on] - 8
+        hashes.append(mix(h))
+        breaks = np.flatnonzero(np.frombuffer(part, np.uint8) == 10)
+        counts = np.diff(np.searchsorted(edges[::2], breaks), prepend=0, append=len(h))
+        lines.append(np.repeat(np.arange(line, line + len(counts)), counts))
+        at, line = to, line + len(breaks)
+    return np.concatenate(hashes), np.concatenate(lines)
+
+
+def line_sets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the lines that have words, sizes of their sets, and word hashes, ascending in each line; A-Z lower-cased."""
+    h, line = word_hashes(data.lower())
+    if not len(h):
+        return line, line, h
+    key = (line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+    order = np.argsort(key)
+    sorted_h, sorted_line = h[order], line[order]
+    key = key[order]
+    if line[-1] >= 1 << 20 or ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+        order = np.lexsort((h, line))
+        sorted_h, sorted_line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_line[1:] != sorted_line[:-1])
+    h, line = sorted_h[new], sorted_line[new]
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return line[starts], np.diff(np.concatenate([starts, [len(line)]])), h
+
+
+def set_keys(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set a sum of hashes and a bitmap, which together are its identity and depend on no order.
+
+    A bit tells whether the set has an odd number of words of that bit, so the bitmaps of two sets differ in no more
+    bits than the sets in words, however many words they have.
+    """
+    return np.add.reduceat(mix(flat), starts), parities(flat, starts, 0)
+
+
+def parities(flat: np.ndarray, starts: np.ndarray, half: int) -> np.ndarray:
+    """One of the two halves of the bitmaps; each word has one bit in one of them."""
+    own = ((flat >> np.uint64(6)) & np.uint64(1)) == half
+    return np.bitwise_xor.reduceat(own.astype(np.uint64) << (flat & np.uint64(63)), starts)
 
 
-def line_sets(hashes: WordHashes, text: str | None):
-    """(line number, sorted distinct word hashes) of each line that has words; words are split at ASCII white space, A-Z lower-cased."""
-    for k, line in enumerate((text or "").encode().lower().split(b"\n")):
-        words = line.split()
-        if words:
-            yield k, np.unique(hashes(words))
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column from 64-bit words, so many a row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-class _Counts:
+class _Texts:
+    """Sets of the lines of texts, batches by parts of a bounded size."""
+
+    def parts(self, batch: pa.RecordBatch):
+        """(first text, texts, lines of each text, their texts, numbers, sizes, hashes, k, bits) for runs of texts of a batch."""
+        column = batch.column("text")
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _TEXT_BYTES, "right")) - 1)
+            texts = [t or b"" for t in column.slice(at, to - at).cast(pa.binary()).to_pylist()]
+            n_lines = np.array([t.count(b"\n") + 1 for t in texts])
+            numbers, sizes, flat = line_sets(b"\n".join(texts))
+            starts = np.cumsum(n_lines) - n_lines
+            owner = np.searchsorted(starts, numbers, "right") - 1
+            k, bits = set_keys(flat, np.cumsum(sizes) - sizes) if len(sizes) else (np.zeros(0, np.uint64),) * 2
+            yield at, to - at, n_lines, owner, numbers - starts[owner], sizes, flat, k, bits
+            at = to
+
+
+class _Lines(_Texts):
+    """The table of lines; the task's counts come last."""
+
     def __init__(self):
-        self.hashes, self.table = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
+        self.table = np.zeros(1 << COUNT_BITS, np.int64)
 
     def __call__(self, batch: pa.RecordBatch):
-        for text in batch.column("text").to_pylist():
-            sets = [s for _, s in line_sets(self.hashes, text)]
-            if sets:
-                np.add.at(self.table, (np.concatenate(sets) >> _SHIFT).astype(np.intp), 1)
-        return None
+        rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
+        for first, m, n_lines, owner, numbers, sizes, flat, k, bits in self.parts(batch):
+            self.table += np.bincount((flat >> _SHIFT).astype(np.intp), minlength=len(self.table))
+            at, none = first + np.concatenate([owner, np.arange(m)]), np.zeros(m, np.int64)
+            yield {
+                "row": rows[at],
+                "doc_id": ids.take(pa.array(at)),
+                "line": np.concatenate([numbers, np.full(m, DOCUMENT)]),
+                "n": np.concatenate([sizes, n_lines]),
+                "k": np.concatenate([k.view(np.int64), none]),
+                "bits": np.concatenate([bits.view(np.int64), none]),
+                "counts": pa.nulls(len(at), pa.binary()),
+            }
 
     def end(self):
-        at = np.flatnonzero(self.table)
-        yield {"bucket": at, "n": self.table[at]}
+        parts = self.table.reshape(-1, 1 << _SLICE_BITS)
+        at = np.flatnonzero(parts.any(axis=1))
+        none = np.zeros(len(at), np.int64)
+        yield {"row": at, "doc_id": none, "line": none + COUNTS, "n": none, "k": none, "bits": none, "counts": pa.array([parts[a].tobytes() for a in at], pa.binary())}
 
 
-def set_key(s: np.ndarray) -> bytes:
-    import xxhash
+class _Sets(_Texts):
+    """The whole sets of the lines that a table of bits marks, those of one task once as far as its memory goes."""
 
-    return xxhash.xxh3_128_digest(s.tobytes())
+    def __init__(self, wanted: np.ndarray):
+        self.wanted, self.seen = wanted, set()
 
+    def __call__(self, batch: pa.RecordBatch):
+        for *_, sizes, flat, k, bits in self.parts(batch):
+            new = self.wanted[(mix(k) >> _SHIFT).astype(np.intp)] & unseen(self.seen, k, bits)
+            yield {"k": k[new].view(np.int64), "bits": bits[new].view(np.int64), "words": binaries(flat[np.repeat(new, sizes)], sizes[new])}
 
-LINES = "row long, doc_id long, line int, set binary, n int, prefix array<long>, low long, high long"
 
+def unseen(seen: set, k: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which sets weren't met before; a set of bounded size remembers them."""
+    new = np.zeros(len(k), bool)
+    for at, key in enumerate(zip(k.tolist(), bits.tolist(), strict=True)):
+        if key not in seen:
+            new[at] = True
+            if len(seen) < MOST_SEEN:
+                seen.add(key)
+    return new
 
-class _Lines:
-    def __init__(self, counts: np.ndarray, percent: int):
-        self.hashes, self.counts, self.percent = WordHashes(), counts, percent
 
-    def __call__(self, batch: pa.RecordBatch) -> dict:
-        out = {c.split(" ")[0]: [] for c in LINES.split(", ")}
-        for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-            for line, s in line_sets(self.hashes, text):
-                n = len(s)
-                often = self.counts[(s >> _SHIFT).astype(np.intp)]
-                length = n - -(-self.percent * n // 100) + 1
-                order = np.lexsort((s, often))[:length]
-                # A word that only one line has can't be shared; its place in the prefix still counts.
-                prefix = np.where(often[order] > 1, s[order].view(np.int64), 0)
-                bits = (s & np.uint64(127)).astype(np.int64)
-                marks = np.zeros(128, bool)
-                marks[bits] = True
-                low, high = np.packbits(marks).view(np.int64)
-                for c, v in zip(out.values(), (row, doc_id, line, set_key(s), n, prefix, int(low), int(high)), strict=True):
-                    c.append(v)
-        return out
+def _marks():
+    def run(batch: pa.RecordBatch) -> dict:
+        k = batch.column("k").to_numpy(zero_copy_only=False).view(np.uint64)
+        return {"bucket": np.unique(mix(k) >> _SHIFT).astype(np.int64)}
 
+    return run
+
+
+class _Sums:
+    """Sums of slices of counts, one row a slice."""
+
+    def __init__(self):
+        self.tables = {}
+
+    def __call__(self, batch: pa.RecordBatch):
+        for at, part in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            add = np.frombuffer(part, np.int64)
+            self.tables[at] = self.tables[at] + add if at in self.tables else add
+
+    def end(self):
+        yield {"row": list(self.tables), "counts": [t.tobytes() for t in self.tables.values()]}
+
+
+def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-percent * n // 100) + 1
+
+
+class _Entries(_Texts):
+    """Blocks of index entries by part, and under negative parts the entries of very common words."""
+
+    def __init__(self, counts: np.ndarray, percent: int, part_bits: int, common: int):
+        self.counts, self.percent, self.part_bits, self.common, self.seen = counts, percent, part_bits, common, set()
+
+    def __call__(self, batch: pa.RecordBatch):
+        for *_, sizes, flat, k, bits in self.parts(batch):
+            new = unseen(self.seen, k, bits)
+            entries, often = self.entries(flat[np.repeat(new, sizes)], sizes[new], k[new], bits[new])
+            part = (mix(entries["word"]) >> np.uint64(64 - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(entries), np.int64)
+            # Blocks of very common words are only handed on, dealt at random.
+            part[often > self.common] = -1 - int(k[:1].sum() >> np.uint64(40))
+            by = np.argsort(part, kind="stable")
+            part, entries = part[by], entries[by]
+            firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            blocks = np.split(entries, firsts[1:])
+            yield {"part": part[firsts] if len(part) else [], "block": [b.tobytes() for b in blocks if len(b)]}
+
+    def entries(self, flat, sizes, k, bits) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of lines, whose hashes ascend, and how often their words occur."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        often = self.counts[(flat >> _SHIFT).astype(np.intp)]
+        # By line, then count; a stable sort leaves equal counts by hash.
+        order = np.argsort((owner << 31) | often, kind="stable")
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # A word that only one line has can't be shared; its place in the prefix still counts.
+        wanted = (place < prefix_sizes(sizes, self.percent)[owner]) & (often[order] > 1)
+        order, line = order[wanted], owner[wanted]  # the order keeps lines together
+        out = np.empty(len(order), ENTRY)
+        out["word"], out["k"], out["bits"], out["n"], out["place"] = flat[order], k[line], bits[line], sizes[line], place[wanted]
+        if len(sizes):
+            out["more"] = parities(flat, np.cumsum(sizes) - sizes, 1)[line]
+        return out, often[order]
+
+
+PAIRS = "word long, ka long, ba long, na long, kb long, bb long, nb long"
+
+
+def possible(nx, ix, bx, mx, ny, iy, by, my, percent: int) -> np.ndarray:
+    """Whether length, places and bitmaps of two entries of a word leave the overlap possible that the similarity needs."""
+    need = (nx + ny) * (percent / (100 + percent)) - 1e-9
+    differ = np.bitwise_count(bx ^ by).astype(np.int64) + np.bitwise_count(mx ^ my)
+    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - ix, ny - iy) >= need) & ((nx + ny - differ) / 2 >= need)
+
+
+def candidates(entries: np.ndarray, percent: int, most_each: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of entries of one word that may be similar, and which entries that have a partner are of words that give too many.
+
+    Entries are sorted by word and n, so that a partner lies few places on. Pairs are kept of a word until it gave too many.
+    """
+    word, n, i, bits = entries["word"], entries["n"].astype(np.int64), entries["place"].astype(np.int64), entries["bits"].copy()
+    more = entries["more"].copy()
+    group = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
+    most = most_each * np.bincount(group)
+    given, crowded, partner = np.zeros(len(most), np.int64), np.zeros(len(most), bool), np.zeros(len(entries), bool)
+    none, step = np.zeros(0, np.intp), 1
+    left, right, at = [none], [none], np.arange(len(entries))
+    while True:
+        at = at[at + step < len(entries)]
+        to = at + step
+        on = (group[at] == group[to]) & (percent * n[to] <= 100 * n[at])
+        at, to = at[on], to[on]
+        if not len(at):
+            break
+        good = possible(n[at], i[at], bits[at], more[at], n[to], i[to], bits[to], more[to], percent)
+        if good.any():
+            a, b = at[good], to[good]
+            partner[a] = partner[b] = True
+            few = ~crowded[group[a]]
+            a, b = a[few], b[few]
+            left.append(a)
+            right.append(b)
+            given += np.bincount(group[a], minlength=len(most))
+            crowded = given > most
+        step += 1
+    left, right = np.concatenate(left), np.concatenate(right)
+    on = ~crowded[group[left]]
+    return left[on], right[on], crowded[group] & partner
+
+
+def once(entries: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of sets once, whichever words it was found by."""
+    order = np.lexsort((entries["bits"], entries["k"]))
+    ordered = entries[["k", "bits"]][order]
+    number = np.empty(len(entries), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+    _, first = np.unique(number[a] * len(entries) + number[b], return_index=True)
+    return a[first], b[first]
+
+
+def _meet(percent: int, most_each: float):
+    """A part's candidate pairs; of a word that gives too many, its entries instead, as pairs without a second."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        entries = np.concatenate([np.frombuffer(b, ENTRY) for b in table.column("block").to_pylist()])
+        alone, a, b = entries, (none := np.zeros(0, np.intp)), none
+        if key[0].as_py() >= 0:
+            # The same set may come from several tasks.
+            entries = entries[np.lexsort((entries["bits"], entries["k"], entries["n"], entries["word"]))]
+            entries = entries[np.concatenate([[True], entries[1:] != entries[:-1]])]
+            a, b, crowded = candidates(entries, percent, most_each)
+            (a, b), alone = once(entries, a, b), entries[crowded]
+        x, y = np.concatenate([entries[a], alone]), entries[b]
+        missing = pa.nulls(len(alone), pa.int64())
+        second = {c: pa.concat_arrays([pa.array(y[f].astype(np.uint64).view(np.int64)), missing]) for c, f in (("kb", "k"), ("bb", "bits"), ("nb", "n"))}
+        first = {c: pa.array(x[f].astype(np.uint64).view(np.int64)) for c, f in (("word", "word"), ("ka", "k"), ("ba", "bits"), ("na", "n"))}
+        out = first | second
+        return pa.table({c: out[c] for c in ("word", "ka", "ba", "na", "kb", "bb", "nb")})
+
+    return run
+
+
+def _verified(percent: int):
+    """Of pairs of whole sets, those at the similarity."""
 
-class _Sets:
-    def __init__(self, wanted: np.ndarray):
-        self.hashes, self.wanted, self.seen = WordHashes(), wanted, set()
-
-    def __call__(self, batch: pa.RecordBatch) -> dict:
-        keys, sets = [], []
-        for text in batch.column("text").to_pylist():
-            for _, s in line_sets(self.hashes, text):
-                key = set_key(s)
-                if self.wanted[int.from_bytes(key[:4], "big") >> 32 - FILTER_BITS] and key not in self.seen:
-                    if len(self.seen) < 200_000:
-                        self.seen.add(key)
-                    keys.append(key)
-                    sets.append(s.tobytes())
-        return {"set": keys, "words": sets}
-
-
-def _verify(percent: int):
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            out = []
-            for y, wx, wy in zip(*(batch.column(c).to_pylist() for c in ("y", "wx", "wy")), strict=True):
+            good = []
+            for at, (wx, wy) in enumerate(zip(batch.column("wx").to_pylist(), batch.column("wy").to_pylist(), strict=True)):
                 a, b = np.frombuffer(wx, np.uint64), np.frombuffer(wy, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= percent * (len(a) + len(b) - both):
-                    out.append(y)
-            return {"set": out}
+                    good.append(at)
+            at = pa.array(good, pa.int64())
+            return {"k": batch.column("k").take(at), "bits": batch.column("bits").take(at)}
+
+        return run
+
+    return make
+
+
+APART = "a string, b string, c long, na long, nb long, linked boolean, group long, d array<long>"
+
+
+def _differences(percent: int):
+    """Each line's set against its leader's: whether they are similar, and what they don't share."""
+
+    def make():
+        from .near_dedup import lists
+
+        def run(batch: pa.RecordBatch) -> dict:
+            linked, d = [], []
+            for wx, wy in zip(batch.column("wx").to_pylist(), batch.column("wy").to_pylist(), strict=True):
+                x, y = np.frombuffer(wx, np.uint64), np.frombuffer(wy, np.uint64)
+                d.append(np.setxor1d(x, y, assume_unique=True))
+                both = (len(x) + len(y) - len(d[-1])) // 2
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            return {c: batch.column(c) for c in ("a", "b", "c", "na", "nb", "group")} | {"linked": linked, "d": lists(d)}
 
         return run
 
     return make
 
 
-def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None, common: int = COMMON, most_each: float = MOST_EACH) -> DataFrame:
     """row, doc_id, n_lines, removed for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``removed`` lists the numbers, from 0, of the lines whose set of words has a Jaccard similarity of at least
     ``similarity`` with that of any earlier line; documents are in the order of doc_id (null last), then of row,
-    the column that ``row`` names and that has to be written; without one the input is written once with a row id. Lines without words are never removed. Null and empty texts have
-    one line; an empty table gives no rows.
+    the column that ``row`` names and that has to be written; without one a row id is given as texts are split.
+    ``common`` and ``most_each`` say which words' lines are met by leaders, which changes no result.
+    Lines without words are never removed. Null and empty texts have one line; an empty table gives no rows.
     """
     spark, percent = docs.sparkSession, round(100 * similarity)
     scratch = Scratch(spark, "lines")
-    if row is None:
-        docs, row = numbered(docs.select("doc_id", "text"), scratch)
-    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = mapped(rows, "bucket long, n long", _Counts).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
-    table = np.zeros(1 << COUNT_BITS, np.int32)
-    table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
-    often = spark.sparkContext.broadcast(table)
-    lines = scratch.keep(mapped(rows, LINES, lambda: _Lines(often.value, percent)), "lines")
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table, texts = scratch.keep(mapped(rows, LINES, _Lines), "lines"), docs.select("text")
+    lines, own = table.where("line >= 0").select("row", "doc_id", "line", "n", "k", "bits"), ["k", "bits"]
+    summed = mapped(table.where(F.col("line") == COUNTS).select("row", "counts").repartition("row"), "row long, counts binary", _Sums).toArrow()  # 2 ** COUNT_BITS counts
+    counts = np.zeros((1 << COUNT_BITS - _SLICE_BITS, 1 << _SLICE_BITS), np.int64)
+    for at, part in zip(summed.column("row").to_pylist(), summed.column("counts").to_pylist(), strict=True):
+        counts[at] = np.frombuffer(part, np.int64)
+    often = spark.sparkContext.broadcast(np.minimum(counts.ravel(), 1 << 30).astype(np.int32))
+    held = lines.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    entries = (100 - percent) * held[1] // 100 + held[0]
+    part_bits = max(0, int(entries // PART_ENTRIES).bit_length())
+    blocks = mapped(texts, "part long, block binary", lambda: _Entries(often.value, percent, part_bits, common))
+    met = scratch.keep(blocks.groupBy("part").applyInArrow(_meet(percent, most_each), PAIRS), "met")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    classes = lines.groupBy("set").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("n", "prefix", "low", "high")])
-    classes = scratch.keep(classes, "classes")
-    index = classes.select("set", "place", "n", "low", "high", F.posexplode("prefix").alias("i", "word")).where("word <> 0")
-    shared = index.groupBy("word").agg(F.count("*").alias("size"), F.min("place").alias("earliest")).where("size > 1").drop("size")
-    index = scratch.keep(index.join(shared, "word"), "index")
-
-    # The word sets of all lines that may meet another, by a table of bits of fixed size and then exactly.
-    bit = F.conv(F.substring(F.hex("set"), 1, 8), 16, 10).cast("long")
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    found = index.select(F.shiftright(bit, 32 - FILTER_BITS).cast("int").alias("bit")).distinct().toArrow()  # at most 2 ** FILTER_BITS rows
-    marks[found.column("bit").to_numpy()] = True
+    classes = scratch.keep(lines.groupBy(*own).agg(F.min(place).alias("place"), F.count("*").alias("copies")), "classes")
+
+    # The whole sets of all lines that a pair holds, or a very common word.
+    first, second = met.select(F.col("ka").alias("k"), F.col("ba").alias("bits")), met.where("kb is not null").select(F.col("kb").alias("k"), F.col("bb").alias("bits"))
+    nodes = scratch.keep(first.unionByName(second).distinct().join(classes.drop("copies"), own), "nodes")
+    marks = np.zeros(1 << COUNT_BITS, bool)
+    found = mapped(nodes.select("k"), "bucket long", _marks).distinct().toArrow()  # at most 2 ** COUNT_BITS rows
+    marks[found.column("bucket").to_numpy()] = True
     wanted = spark.sparkContext.broadcast(marks)
-    sets = mapped(rows, "set binary, words binary", lambda: _Sets(wanted.value)).join(index.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
-    sets = scratch.keep(sets, "sets")
-
-    x = index.select(F.col("set").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("low").alias("lx"), F.col("high").alias("hx"), F.col("i").alias("ix"), "word")
-    y = index.select(F.col("set").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"), F.col("low").alias("ly"), F.col("high").alias("hy"), F.col("i").alias("iy"), "word", "earliest")
-    # Overlap that the pair needs, and what length, place in the prefix and bitmap leave possible.
-    need = (F.col("nx") + F.col("ny")) * percent / (100 + percent) - 1e-9
-    differ = F.bit_count(F.col("lx").bitwiseXOR(F.col("ly"))) + F.bit_count(F.col("hx").bitwiseXOR(F.col("hy")))
-    possible = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + F.least("ix", "iy") >= need)
-    possible = possible & ((F.col("nx") + F.col("ny") - differ) / 2 >= need)
-
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.select("x", "y").distinct()
-        sides = pairs.join(sets.select(F.col("set").alias("y"), F.col("words").alias("wy")), "y").join(sets.select(F.col("set").alias("x"), F.col("words").alias("wx")), "x")
-        return scratch.keep(mapped(sides, "set binary", _verify(percent)).distinct(), name)
-
-    first = x.join(y.where(F.col("py") != F.col("earliest")), "word").where((F.col("px") == F.col("earliest")) & possible)
-    gone = similar(first, "gone-1")
-    left = y.join(gone.select(F.col("set").alias("y")), "y", "left_anti")
-    rest = x.join(left, "word").where((F.col("px") < F.col("py")) & (F.col("px") != F.col("earliest")) & possible)
-    gone = gone.unionByName(similar(rest, "gone-2"))
+    sets = scratch.keep(mapped(texts, "k long, bits long, words binary", lambda: _Sets(wanted.value)).join(nodes, own).dropDuplicates(own), "sets")
+    x = sets.select(F.col("k").alias("ka"), F.col("bits").alias("ba"), F.col("place").alias("px"), F.col("words").alias("wx"))
+    y = sets.select(F.col("k").alias("kb"), F.col("bits").alias("bb"), F.col("place").alias("py"), F.col("words").alias("wy"))
+
+    def gone(pairs: DataFrame, name: str) -> DataFrame:
+        """Of each similar pair the later one."""
+        sides = pairs.join(x, ["ka", "ba"]).join(y, ["kb", "bb"])
+        later = [F.when(F.col("px") < F.col("py"), F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("ka", "kb", "k"), ("ba", "bb", "bits"))]
+        return scratch.keep(mapped(sides.select(*later, "wx", "wy"), "k long, bits long", _verified(percent)).distinct(), name)
+
+    removed = gone(met.where("kb is not null").select("ka", "ba", "kb", "bb").distinct(), "gone-1")
+    common = scratch.keep(met.where("kb is null").select("word", F.col("ka").alias("k"), F.col("ba").alias("bits"), F.col("na").alias("n")).distinct(), "common")
+    if not common.isEmpty():
+        known = common.join(nodes, own)
+        leaders = known.groupBy("word").agg(F.min(F.struct("place", "k", "bits", "n")).alias("l"))
+        pairs = known.join(leaders, "word").where("k <> l.k or bits <> l.bits")
+        pairs = pairs.select(F.col("l.k").alias("ka"), F.col("l.bits").alias("ba"), F.col("l.n").alias("na"), F.col("k").alias("kb"), F.col("bits").alias("bb"), F.col("n").alias("nb")).distinct()
+        sides = pairs.join(y.drop("py"), ["kb", "bb"]).join(x.drop("px"), ["ka", "ba"])
+        sides = sides.select(F.concat_ws(",", "ka", "ba").alias("a"), F.concat_ws(",", "kb", "bb").alias("b"), F.xxhash64("kb", "bb").alias("c"), "na", "nb", F.xxhash64("ka", "ba").alias("group"), "wx", "wy")
+        apart = scratch.keep(mapped(sides, APART, _differences(percent)), "apart")
+        ends = lambda c: [F.split(c, ",")[j].cast("long") for j in range(2)]
+        near = apart.where("linked").select(*[e.alias(c) for e, c in zip(ends("b"), own, strict=True)])
+        rest = difference_pairs(apart, "string", percent, scratch)
+        if rest is not None:
+            rest = rest.select(*[e.alias(c) for s, cs in (("a", ("ka", "ba")), ("b", ("kb", "bb"))) for e, c in zip(ends(s), cs, strict=True)])
+            near = near.unionByName(gone(rest, "gone-2"))
+        removed = removed.unionByName(near).distinct()
     # A line goes if it isn't its class's first, or if its class has an earlier partner.
-    firsts = classes.select("set", F.col("place.row").alias("first_row"), F.col("place.line").alias("first_line"))
-    judged = lines.select("row", "line", "set").join(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left"), "set")
-    removed = judged.where((F.col("row") != F.col("first_row")) | (F.col("line") != F.col("first_line")) | F.coalesce("gone", F.lit(False)))
-    per_row = removed.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # lines of one document
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    return rows.select("row", "doc_id", n_lines.alias("n_lines")).join(per_row, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    firsts = classes.select(*own, "copies", F.col("place.row").alias("first_row"), F.col("place.line").alias("first_line"))
+    judged = lines.join(firsts.join(removed.withColumn("gone", F.lit(True)), own, "left").where("gone or copies > 1"), own)
+    out = judged.where((F.col("row") != F.col("first_row")) | (F.col("line") != F.col("first_line")) | F.coalesce("gone", F.lit(False)))
+    per_row = out.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # lines of one document
+    documents = table.where(F.col("line") == DOCUMENT).select("row", "doc_id", F.col("n").alias("n_lines"))
+    return documents.join(per_row, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -180,6 +180,34 @@ class _Counts:
         yield {"bucket": at, "n": self.table[at]}
 
 
+def difference_pairs(apart: DataFrame, kind: str, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs (a, b) that may be similar among the sets of one leader, one of them at least not linked with it; None if there are none.
+
+    ``apart`` has a row for each leader a and each set b that it has met: their sizes na and nb, whether they are linked,
+    the elements d that they don't share, a hash ``group`` of a, and c; sets of equal c needn't meet. ``kind`` is the type of a and b.
+    """
+    some = apart.groupBy("a").agg(F.count("*").alias("sets"), F.min("linked").alias("all")).where("sets > 1 and not all").select("a")
+    apart = apart.join(some, "a", "left_semi")
+    counted = mapped(apart.select("group", "d"), "bucket long, n long", _Counts).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
+    if not counted.num_rows:
+        return None
+    table = np.zeros(1 << COUNT_BITS, np.int32)
+    table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
+    often = apart.sparkSession.sparkContext.broadcast(table)
+    columns = f"a {kind}, b {kind}, c long, nb int, linked boolean, element long, nd int, place int"
+    entries = mapped(apart.select("a", "b", "c", *[F.col(c).cast("int").alias(c) for c in ("na", "nb")], "linked", "group", "d"), columns, lambda: _prefixes(often.value, percent)())
+    entries = scratch.keep(entries, "entries")
+    x = entries.select("a", "element", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("nb").alias("nx"), F.col("nd").alias("dx"), F.col("place").alias("ix"), F.col("linked").alias("lx"))
+    y = entries.select("a", "element", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("nb").alias("ny"), F.col("nd").alias("dy"), F.col("place").alias("iy"), F.col("linked").alias("ly"))
+    # Elements of the differences that the pair has to share, and what the places leave possible.
+    need = (F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny")) * (100 - percent) / (100 + percent)) / 2 - 1e-6
+    near = ~F.col("lx") & (F.col("ly") | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy"))
+    near = near & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    near = near & (F.least(F.col("dx") - F.col("ix"), F.col("dy") - F.col("iy")) >= need)
+    rest = scratch.keep(x.join(y, ["a", "element"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "rest")
+    return None if rest.isEmpty() else rest
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -230,26 +258,12 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     placed = first.select("a", "b", "rb", "na", "nb", "linked", "group", "d").join(comps.select(F.col("node").alias("rb"), "component"), "rb", "left").withColumn("c", F.coalesce("component", "rb"))
     open_groups = placed.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("a")
     apart = scratch.keep(placed.join(open_groups, "a", "left_semi").select("a", "b", "c", "na", "nb", "linked", "group", "d"), "apart")
-    if not apart.isEmpty():
-        counted = mapped(apart.select("group", "d"), "bucket long, n long", _Counts).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
-        table = np.zeros(1 << COUNT_BITS, np.int32)
-        table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
-        often = spark.sparkContext.broadcast(table)
-        entries = mapped(apart, "a binary, b binary, c long, nb int, linked boolean, element long, nd int, place int", _prefixes(often.value, percent))
-        entries = scratch.keep(entries, "entries")
-        x = entries.select("a", "element", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("nb").alias("nx"), F.col("nd").alias("dx"), F.col("place").alias("ix"), F.col("linked").alias("lx"))
-        y = entries.select("a", "element", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("nb").alias("ny"), F.col("nd").alias("dy"), F.col("place").alias("iy"), F.col("linked").alias("ly"))
-        # Elements of the differences that the pair has to share, and what the places leave possible.
-        need = (F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny")) * (100 - percent) / (100 + percent)) / 2 - 1e-6
-        near = ~F.col("lx") & (F.col("ly") | (F.col("x") < F.col("y"))) & (F.col("cx") != F.col("cy"))
-        near = near & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        near = near & (F.least(F.col("dx") - F.col("ix"), F.col("dy") - F.col("iy")) >= need)
-        rest = scratch.keep(x.join(y, ["a", "element"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "rest")
-        if not rest.isEmpty():
-            second = sides(rest).withColumn("both", both).where(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            second = scratch.keep(second, "second")
-            if not second.isEmpty():
-                comps = scratch.keep(components(links.unionByName(second), scratch, "c2"), "components-2")
+    rest = difference_pairs(apart, "binary", percent, scratch)
+    if rest is not None:
+        second = sides(rest).withColumn("both", both).where(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        second = scratch.keep(second, "second")
+        if not second.isEmpty():
+            comps = scratch.keep(components(links.unionByName(second), scratch, "c2"), "components-2")
 
     label = comps.select("node", "component")
     by_set = classes.select("set", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component"))
