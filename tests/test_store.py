@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import EngineStateError
 from tidemark.operators import reconcile
-from tidemark.operators.store import MemoryMetrics, Store
+from tidemark.operators.store import MemoryMetrics, Store, SystemClock
 from tidemark.schema import MUTATIONS, Durability, checked
 
 SYNC = Durability.SYNC
@@ -161,3 +161,111 @@ def test_generations_for_any_chunking(spark):
     for chunk in (1, 7, 64, 10_000):
         got = flush_generations(log, 128, rows_per_chunk=chunk).orderBy("sequence").collect()
         assert [r.generation for r in got] == want
+
+
+def test_numbers_are_dense_when_written_and_read_again(spark, tmp_path):
+    from tidemark.operators.sequence import stamp
+    from tidemark.operators.stats import prefix_share
+    from tidemark.schema import from_events
+
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").repartition(7)
+    log = from_events(events)
+    for n in (4, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            stamp(log.select("user_key", "value_type", "value", F.col("sequence").alias("at")), ["at"], 10).write.mode("overwrite").parquet(str(tmp_path / "n"))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        got = spark.read.parquet(str(tmp_path / "n")).agg(F.count("*"), F.countDistinct("sequence"), F.min("sequence"), F.max("sequence")).first()
+        assert tuple(got) == (100_000, 100_000, 11, 100_010)
+    assert prefix_share(log).count() == 99_999
+
+
+def test_a_crash_after_a_run_is_written_reuses_no_sequence(spark, tmp_path, monkeypatch):
+    batch = spark.createDataFrame([(i, bytearray(b"k%d" % i), 1, bytearray(b"v")) for i in range(4)], "n int, user_key binary, value_type int, value binary")
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.write_batch(batch, ["n"])
+    commit = Store._commit
+
+    def dies(self, **changes):
+        commit(self, **changes)
+        raise OSError("lost")
+
+    monkeypatch.setattr(Store, "_commit", dies)
+    with pytest.raises(OSError):
+        s.write_batch(batch, ["n"])
+    monkeypatch.undo()
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        assert s.last_sequence == 8
+        s.write_batch(batch, ["n"])
+        assert sorted(r.sequence for r in s.mutations().collect()) == [*range(1, 13)]
+    # The runs count even if the manifest says less.
+    manifest = tmp_path / "s" / "MANIFEST"
+    manifest.write_text(manifest.read_text().replace('"last_sequence": 12', '"last_sequence": 3'))
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        assert s.last_sequence == 12
+
+
+def test_views_outlive_compactions_until_they_are_old(spark, tmp_path):
+    class Clock(SystemClock):
+        now = 1_000_000
+
+        def epoch_millis(self):
+            return self.now * 1000
+
+    clock = Clock()
+    with Store.open(spark, str(tmp_path / "s"), clock=clock) as s:
+        for k in range(3):
+            s.put(b"a", b"%d" % k, SYNC)
+            s.flush()
+        view = s.scan()
+        s.compact()
+        s.put(b"a", b"new", SYNC)
+        assert rows(view) == [(b"a", b"2")] and rows(s.scan()) == [(b"a", b"new")]
+    runs = lambda: len(list((tmp_path / "s").glob("run-*")))
+    with Store.open(spark, str(tmp_path / "s"), clock=clock) as s:
+        assert runs() == 5 and rows(view) == [(b"a", b"2")]
+    clock.now += 90_000
+    with Store.open(spark, str(tmp_path / "s"), clock=clock) as s:
+        assert runs() == 2 and rows(s.scan()) == [(b"a", b"new")] and s.manifest["retired"] == []
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    first = Store.open(spark, str(tmp_path / "s"))
+    first.put(b"a", b"1", SYNC)
+    with Store.open(spark, str(tmp_path / "s"), read_only=True) as reader:
+        assert rows(reader.scan()) == [(b"a", b"1")]
+        with pytest.raises(EngineStateError):
+            reader.put(b"a", b"2", SYNC)
+    first.put(b"b", b"1", SYNC)
+    second = Store.open(spark, str(tmp_path / "s"))
+    for write in (lambda: first.put(b"c", b"1", SYNC), first.flush):
+        with pytest.raises(EngineStateError):
+            write()
+    second.put(b"d", b"1", SYNC)
+    assert [k for k, _ in rows(second.scan())] == [b"a", b"b", b"d"]
+    second.close()
+
+
+def test_batches_are_validated(spark, tmp_path):
+    schema = "n int, user_key binary, value_type int, value binary"
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        for bad in ((1, None, 1, bytearray()), (1, bytearray(), 1, None), (1, bytearray(), 7, bytearray())):
+            with pytest.raises(Exception, match="invalid mutation"):
+                s.write_batch(spark.createDataFrame([bad], schema), ["n"])
+        s.write_batch(spark.createDataFrame([], schema), ["n"])
+        assert s.scan().count() == 0 and s.last_sequence == 0
+
+
+def test_streams_into_one_store(spark, tmp_path):
+    from tidemark import streaming
+
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        for name in ("one", "two"):
+            rows_in = spark.createDataFrame([(i, bytearray(f"{name}{i}".encode()), 1, bytearray(b"v")) for i in range(5)], "n int, user_key binary, value_type int, value binary")
+            rows_in.write.parquet(str(tmp_path / name))
+            for _ in range(2):  # the second start has a checkpoint of its own and repeats the batch
+                q = spark.readStream.schema(rows_in.schema).parquet(str(tmp_path / name)).writeStream.foreachBatch(streaming.append_to(s, ["n"], name)).start()
+                q.processAllAvailable()
+                q.stop()
+        assert s.scan().count() == 10 and s.last_sequence == 10

@@ -7,6 +7,7 @@ replacing the manifest, so readers see all of it or nothing, and a log segment g
 
 import json
 import os
+import threading
 import time
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineStateError, StorageError
-from ..schema import COMPARATOR_NAME, DEFAULT_WRITE_BUFFER_BYTES, MUTATIONS, Durability, ValueType
+from ..schema import COMPARATOR_NAME, DEFAULT_WRITE_BUFFER_BYTES, MUTATIONS, Durability, ValueType, checked
 from ..sources import wal
 from ..sources.datasource import file_system, listing
 from . import reconcile
@@ -89,63 +90,120 @@ class Cursor:
             self.next()
 
 
+def synced(path: str) -> None:
+    """Makes a local file or folder durable; other file systems do so when a file is closed."""
+    if os.path.exists(path):
+        fd = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(fd)
+        finally:
+            os.close(fd)
+
+
+#: Seconds for which runs that a compaction replaced stay, for the DataFrames that read them.
+RETIRED_SECONDS = 86_400
+
+
 class Store:
-    """Opened by ``Store.open``. One writer at a time; DataFrames handed out keep the view they were made from."""
+    """Opened by ``Store.open``. DataFrames handed out keep the view they were made from.
+
+    One writer at a time: writes of one store object take turns, and opening a store anew fences the writer before,
+    whose next commit, sync or log segment raises. ``read_only`` opens without recovery's writes and fences nobody.
+    Runs that a compaction replaced are deleted by an open that finds them older than ``retired_seconds``.
+    """
 
     def __init__(self):
         raise TypeError("use Store.open")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, write_buffer_bytes: int = DEFAULT_WRITE_BUFFER_BYTES, clock: SystemClock | None = None, metrics: Metrics | None = None) -> "Store":
+    def open(cls, spark: SparkSession, path: str, write_buffer_bytes: int = DEFAULT_WRITE_BUFFER_BYTES, clock: SystemClock | None = None, metrics: Metrics | None = None, read_only: bool = False, retired_seconds: float = RETIRED_SECONDS) -> "Store":
         if write_buffer_bytes <= 0:
             raise ValueError("write_buffer_bytes must be positive")
         self = object.__new__(cls)
         self.spark, self.path, self.buffer_bytes = spark, path.rstrip("/"), write_buffer_bytes
         self.clock, self.metrics, self.closed = clock or SystemClock(), metrics or Metrics(), False
+        self.read_only, self.retired_seconds, self._turn, self._id = read_only, retired_seconds, threading.RLock(), uuid.uuid4().hex
         self._files, self._root = file_system(self.path)
-        self._files.create_dir(self._root, recursive=True)
+        if not read_only:
+            self._files.create_dir(self._root, recursive=True)
         self._recover()
         return self
 
     # -- recovery and the manifest
 
-    def _recover(self) -> None:
+    def _read_manifest(self) -> dict | None:
         from pyarrow import fs
 
-        for info in self._files.get_file_info(fs.FileSelector(self._root)):
-            if info.path.endswith(".tmp"):
-                (self._files.delete_dir if info.type == fs.FileType.Directory else self._files.delete_file)(info.path)
-        self.manifest = {"comparator": COMPARATOR_NAME, "runs": [], "last_sequence": 0, "batches": [], "next_file": 1}
-        if self._files.get_file_info(f"{self._root}/MANIFEST").type == fs.FileType.File:
-            with self._files.open_input_file(f"{self._root}/MANIFEST") as f:
-                self.manifest = json.loads(f.read())
-            if self.manifest["comparator"] != COMPARATOR_NAME:
-                raise EngineStateError(f"the store is ordered by {self.manifest['comparator']}")
+        if self._files.get_file_info(f"{self._root}/MANIFEST").type != fs.FileType.File:
+            return None
+        with self._files.open_input_file(f"{self._root}/MANIFEST") as f:
+            return json.loads(f.read())
+
+    def _recover(self) -> None:
+        self.manifest = {"comparator": COMPARATOR_NAME, "runs": [], "retired": [], "last_sequence": 0, "batches": [], "next_file": 1, "writer": None}
+        self.manifest |= self._read_manifest() or {}
+        if self.manifest["comparator"] != COMPARATOR_NAME:
+            raise EngineStateError(f"the store is ordered by {self.manifest['comparator']}")
+        if not self.read_only:
+            self._take_over()
         self._buffer, self._held, self._log = [], 0, None
+        # What the data says counts, whatever the manifest says of it.
+        last = self.manifest["last_sequence"]
+        if self.manifest["runs"]:
+            last = max(last, self.spark.read.parquet(*self.manifest["runs"]).agg(F.max("sequence")).first()[0] or 0)
         segments = listing(self._root, ".wal")
         for k, segment in enumerate(segments):
             with self._files.open_input_file(segment) as f:
                 policy = wal.RecoveryPolicy.TRUNCATE_TAIL if k == len(segments) - 1 else wal.RecoveryPolicy.STRICT
                 replayed = wal.decode_segment(f.read(), policy)
             # What a run already holds was flushed just before its segment should have gone.
-            self._buffer += [m for m in replayed if m[1] > self.manifest["last_sequence"]]
-        self._next = max([self.manifest["last_sequence"], *(m[1] for m in self._buffer)]) + 1
+            self._buffer += [m for m in replayed if m[1] > last]
+        self._next = max([last, *(m[1] for m in self._buffer)]) + 1
+        if self.read_only:
+            return
         if self._buffer:
             self.flush()
         for segment in segments:
             self._files.delete_file(segment)
 
+    def _take_over(self) -> None:
+        """Becomes the writer, and removes what unfinished writes and old compactions left."""
+        from pyarrow import fs
+
+        now = self.clock.epoch_millis() / 1000
+        old = [r for r in self.manifest["retired"] if r["at"] + self.retired_seconds <= now]
+        self.manifest["retired"] = [r for r in self.manifest["retired"] if r not in old]
+        self._commit(writer=self._id)
+        for info in self._files.get_file_info(fs.FileSelector(self._root)):
+            if info.path.endswith(".tmp"):
+                (self._files.delete_dir if info.type == fs.FileType.Directory else self._files.delete_file)(info.path)
+        for run in old:
+            files, path = file_system(run["run"])
+            if files.get_file_info(path).type == fs.FileType.Directory:
+                files.delete_dir(path)
+
+    def _still_writer(self) -> None:
+        now = self._read_manifest()
+        if now is not None and now.get("writer") != self._id:
+            raise EngineStateError("another writer has opened the store")
+
     def _commit(self, **changes) -> None:
-        self.manifest = {**self.manifest, **changes}
+        if "writer" not in changes:
+            self._still_writer()
+        manifest = {**self.manifest, **changes}
         temporary = f"{self._root}/MANIFEST-{uuid.uuid4().hex}.tmp"
         try:
             with self._files.open_output_stream(temporary) as out:
-                out.write(json.dumps(self.manifest).encode())
+                out.write(json.dumps(manifest).encode())
+            synced(temporary)
             self._files.move(temporary, f"{self._root}/MANIFEST")
+            synced(self._root)
         except OSError as e:
             raise StorageError(str(e)) from e
+        self.manifest = manifest
 
-    def _install(self, mutations: DataFrame, last_sequence: int, **changes) -> None:
+    def _install(self, mutations: DataFrame, **changes) -> None:
+        """Writes a run and makes it current by one commit, which also names the largest sequence."""
         number = self.manifest["next_file"]
         run = f"{self.path}/run-{number}-{uuid.uuid4().hex[:8]}"
         (
@@ -154,7 +212,9 @@ class Store:
             .write.option("parquet.bloom.filter.enabled#user_key", "true")
             .parquet(run)
         )
-        self._commit(runs=[run, *changes.pop("runs", self.manifest["runs"])], last_sequence=last_sequence, next_file=number + 1, **changes)
+        newest = self.spark.read.schema(MUTATIONS).parquet(run).agg(F.max("sequence")).first()[0] or 0
+        last = max(self.manifest["last_sequence"], newest)
+        self._commit(runs=[run, *changes.pop("runs", self.manifest["runs"])], last_sequence=last, next_file=number + 1, **changes)
 
     # -- writes
 
@@ -162,20 +222,29 @@ class Store:
         if self.closed:
             raise EngineStateError("the store is closed")
 
+    def _writable(self) -> None:
+        self._alive()
+        if self.read_only:
+            raise EngineStateError("the store is open for reading only")
+
     def put(self, user_key: bytes, value: bytes, durability: Durability) -> None:
         if user_key is None or value is None:
             raise ValueError("key and value must not be null")
-        self._append(bytes(user_key), ValueType.PUT, bytes(value), durability)
+        with self._turn:
+            self._append(bytes(user_key), ValueType.PUT, bytes(value), durability)
 
     def delete(self, user_key: bytes, durability: Durability) -> None:
         if user_key is None:
             raise ValueError("key must not be null")
-        self._append(bytes(user_key), ValueType.DELETE, b"", durability)
+        with self._turn:
+            self._append(bytes(user_key), ValueType.DELETE, b"", durability)
 
     def _append(self, key: bytes, kind: ValueType, value: bytes, durability: Durability) -> None:
-        self._alive()
+        self._writable()
         if not isinstance(durability, Durability):
             raise ValueError("a durability must be given")
+        if self._log is None or durability is not Durability.NONE:
+            self._still_writer()
         if self._log is None:
             name = f"{self._root}/{self.manifest['next_file']:020d}-{uuid.uuid4().hex[:8]}.wal"
             self._log, self._log_path, self._log_size = self._files.open_output_stream(name, compression=None, buffer_size=0), name, 0
@@ -188,12 +257,7 @@ class Store:
         if durability is not Durability.NONE:
             began = self.clock.nano_time()
             self._log.flush()
-            if os.path.exists(self._log_path):  # a local file; other file systems make a flush durable themselves
-                fd = os.open(self._log_path, os.O_RDONLY)
-                try:
-                    os.fsync(fd)
-                finally:
-                    os.close(fd)
+            synced(self._log_path)
             self.metrics.increment("wal.sync.count")
             self.metrics.record("wal.sync.duration", self.clock.nano_time() - began)
         self._next += 1
@@ -209,45 +273,47 @@ class Store:
 
         A batch whose id the store has seen is skipped, which makes retried streaming micro-batches safe.
         """
-        self._alive()
-        if batch_id is not None and batch_id in self.manifest["batches"]:
-            return
-        self.flush()
-        last = self._next - 1
-        stamped = stamp(batch, order, last)
-        seen = [*self.manifest["batches"], batch_id][-1000:] if batch_id is not None else self.manifest["batches"]
-        self._install(stamped, last, batches=seen)
-        newest = self.spark.read.parquet(self.manifest["runs"][0]).agg(F.max("sequence")).first()[0]
-        self._next = max(last, newest or 0) + 1
-        self._commit(last_sequence=self._next - 1)
+        with self._turn:
+            self._writable()
+            if batch_id is not None and batch_id in self.manifest["batches"]:
+                return
+            self.flush()
+            stamped = checked(stamp(batch, order, self._next - 1))
+            seen = [*self.manifest["batches"], batch_id][-1000:] if batch_id is not None else self.manifest["batches"]
+            self._install(stamped, batches=seen)
+            self._next = max(self._next - 1, self.manifest["last_sequence"]) + 1
 
     def flush(self) -> None:
         """Turns the buffer into a run; then its log segment goes."""
-        if self._buffer:
-            last = self._buffer[-1][1]
-            self._install(self._buffered(), last)
-            self.metrics.increment("flush.count")
-            self.metrics.increment("flush.bytes", self._held)
-            self._buffer, self._held = [], 0
-        if self._log is not None:
-            self._log.close()
-            self._files.delete_file(self._log_path)
-            self._log = None
+        with self._turn:
+            self._writable()
+            if self._buffer:
+                self._install(self._buffered())
+                self.metrics.increment("flush.count")
+                self.metrics.increment("flush.bytes", self._held)
+                self._buffer, self._held = [], 0
+            if self._log is not None:
+                self._log.close()
+                self._files.delete_file(self._log_path)
+                self._log = None
 
     def compact(self, drop_before: int | None = None) -> None:
-        """Rewrites all runs as one. Versions that no snapshot at or after ``drop_before`` sees go. Beyond parity."""
-        self.flush()
-        if drop_before is None:
-            drop_before = self._next - 1
-        old = self.manifest["runs"]
-        if not old:
-            return
-        log = self.mutations()
-        kept = reconcile.newest_per_key(log.where(F.col("sequence") <= drop_before)).where(F.col("value_type") == 1)
-        self._install(kept.unionByName(log.where(F.col("sequence") > drop_before)), self.manifest["last_sequence"], runs=[])
-        for run in old:
-            files, path = file_system(run)
-            files.delete_dir(path)
+        """Rewrites all runs as one. Versions that no snapshot at or after ``drop_before`` sees go. Beyond parity.
+
+        The runs before stay for ``retired_seconds``, since DataFrames handed out earlier read them.
+        """
+        with self._turn:
+            self.flush()
+            if drop_before is None:
+                drop_before = self._next - 1
+            old = self.manifest["runs"]
+            if not old:
+                return
+            log = self.mutations()
+            kept = reconcile.newest_per_key(log.where(F.col("sequence") <= drop_before)).where(F.col("value_type") == 1)
+            now = self.clock.epoch_millis() / 1000
+            retired = [*self.manifest["retired"], *({"run": run, "at": now} for run in old)]
+            self._install(kept.unionByName(log.where(F.col("sequence") > drop_before)), runs=[], retired=retired)
 
     # -- reads
 

@@ -1,9 +1,5 @@
 """The engine's queries over the driver's tables, each with the SQL that gives the same rows."""
 
-import posixpath
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +7,7 @@ from ..functions import keys
 from ..functions.crc32c import crc32c
 from ..operators import reconcile, stats
 from ..schema import from_events
+from ..shared import new_path
 
 BUFFER_BYTES = 4096
 
@@ -24,9 +21,7 @@ def hexed(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share; a local one only where no cluster names any."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return posixpath.join(base, f"tidemark-{uuid.uuid4().hex}")
+    return new_path(spark, "tidemark")
 
 
 def scan_full(spark, d):
@@ -201,3 +196,9 @@ SQL = {
 }
 
 QUERIES = {name: globals()[name] for name in SQL} | {"crc32c": crc32c_values}
+
+#: Byte by byte, with a table of what eight steps of the reflected Castagnoli polynomial make of each byte.
+SQL["crc32c"] = f"""with {M}, t as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, case when c & 1 = 1 then 2197175160 else 0 end)) order by n) tab
+ from (select unnest(range(256)) n)),
+ b as (select seq, list_transform(range(octet_length(v)), lambda i: ('0x' || substr(hex(v), cast(2 * i + 1 as integer), 2))::bigint) bytes from m)
+ select seq, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::bigint) crc from b, t"""

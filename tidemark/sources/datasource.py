@@ -5,16 +5,20 @@ pyarrow's file systems reach. A writer's files appear when the job commits: task
 and the commit renames them, so lost executors and retried tasks leave nothing visible.
 """
 
+import os
 import posixpath
 import uuid
 from dataclasses import dataclass
+from itertools import batched, chain
 
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions import keys
 from . import sst, wal
 
+BATCH_ROWS = 8192
 SCHEMA = "user_key binary, sequence bigint, value_type tinyint, value binary"
 
 
@@ -65,13 +69,22 @@ class _Reader(DataSourceReader):
             return f.read()
 
 
+def batches(mutations):
+    """Mutations as Arrow batches of a bounded number of rows."""
+    import pyarrow as pa
+
+    schema = pa.schema([("user_key", pa.binary()), ("sequence", pa.int64()), ("value_type", pa.int8()), ("value", pa.binary())])
+    for rows in batched(mutations, BATCH_ROWS):
+        key, sequence, kind, value = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(sequence, pa.int64()), pa.array(map(int, kind), pa.int8()), pa.array(value, pa.binary())], schema=schema)
+
+
 class WalReader(_Reader):
     suffix = ".wal"
 
     def read(self, partition):
         if partition.path:
-            for key, sequence, kind, value in wal.decode_segment(self.bytes_of(partition), self.policy):
-                yield key, sequence, int(kind), value
+            yield from batches(wal.decode_segment(self.bytes_of(partition), self.policy))
 
 
 class SstReader(_Reader):
@@ -93,11 +106,14 @@ class SstReader(_Reader):
         files, _ = file_system(self.root)
         with files.open_input_file(partition.path) as f:
             table = sst.Table(read=lambda offset, n: f.read_at(n, offset), size=f.size())
-            for internal, value in table.entries() if self.low is None else table.seek(keys.seek_key(self.low)):
-                key, sequence, kind = keys.decode(internal)
-                if self.high is not None and key > self.high:
-                    return
-                yield key, sequence, int(kind), value
+            yield from batches(self.inside(table))
+
+    def inside(self, table):
+        for internal, value in table.entries() if self.low is None else table.seek(keys.seek_key(self.low)):
+            key, sequence, kind = keys.decode(internal)
+            if self.high is not None and key > self.high:
+                return
+            yield key, sequence, kind, value
 
 
 class _Writer(DataSourceWriter):
@@ -105,32 +121,42 @@ class _Writer(DataSourceWriter):
         self.root, self.overwrite, self.kind = options["path"], overwrite, options["kind"]
 
     def write(self, rows):
-        it = ((bytes(r[0]), int(r[1]), int(r[2]), bytes(r[3])) for r in rows)
+        from pyspark import TaskContext
+
+        mutations = ((bytes(r[0]), int(r[1]), int(r[2]), bytes(r[3])) for r in rows)
+        first = next(mutations, None)
+        if first is None and self.kind == "wal":
+            return Written([])
+        mutations = chain([first] if first else [], mutations)
         if self.kind == "wal":
-            data, n = wal.encode_segment(it), None
+            pieces = wal.pieces(wal.encode_mutation(*m) for m in mutations)
         else:
-            data, n = sst.build((keys.encode(k, s, t), v) for k, s, t, v in it), None
-        empty = len(data) <= (wal.HEADER_BYTES if self.kind == "wal" else 80)
-        if n is None and empty and self.kind == "wal":
-            return Written([])
-        from pyspark import TaskContext
+            pieces = sst.pieces((keys.encode(k, s, t), v) for k, s, t, v in mutations)
 
         files, root = file_system(self.root)
         files.create_dir(root, recursive=True)
         place = TaskContext.get().partitionId()
         temporary = f"{root}/{place:010d}-{uuid.uuid4().hex}.{self.kind}.tmp"
         with files.open_output_stream(temporary) as out:
-            out.write(data)
+            for piece in pieces:
+                out.write(piece)
+        if isinstance(files, LocalFileSystem):  # other file systems make a closed file durable
+            fd = os.open(temporary, os.O_RDONLY)
+            try:
+                os.fsync(fd)
+            finally:
+                os.close(fd)
         return Written([temporary])
 
     def commit(self, messages):
         files, _ = file_system(self.root)
-        if self.overwrite:
-            for old in listing(self.root, f".{self.kind}"):
-                files.delete_file(old)
+        before = listing(self.root, f".{self.kind}") if self.overwrite else []
         for message in messages:
             for path in message.paths if message else ():
                 files.move(path, path.removesuffix(".tmp"))
+        # What is overwritten goes last, so that a commit cut short loses nothing.
+        for old in before:
+            files.delete_file(old)
 
     def abort(self, messages):
         files, _ = file_system(self.root)

@@ -21,10 +21,13 @@ def live(mutations: DataFrame) -> DataFrame:
     return latest(mutations).where(is_put()).select("user_key", "value")
 
 
-def append_to(store, order: list):
-    """A ``foreachBatch`` sink that appends each micro-batch once: a batch id already in the store is skipped."""
+def append_to(store, order: list, name: str):
+    """A ``foreachBatch`` sink that appends each micro-batch of the stream ``name`` once: a batch already in the store is skipped.
+
+    Batch numbers start anew in each stream, so streams into one store need names of their own, kept over restarts.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.write_batch(batch, order=order, batch_id=f"stream-{batch_id}")
+        store.write_batch(batch, order=order, batch_id=f"stream-{name}-{batch_id}")
 
     return write
