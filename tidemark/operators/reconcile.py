@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import is_put
+from ..shared import written
 
 
 def newest_first() -> list[Column]:
@@ -86,38 +87,52 @@ def internal_order(mutations: DataFrame) -> DataFrame:
     return mutations.orderBy(F.asc("user_key"), *newest_first())
 
 
-def ceiling(keys: DataFrame, probes: DataFrame, buckets: int = 64) -> DataFrame:
-    """For each probe the smallest key >= probe, or null: a lower-bound seek in bulk.
+def ceiling(keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe the smallest key >= probe, or null: a lower-bound seek in bulk. Null probes are left out.
 
-    Keys and probes are dealt into ranges by a sample of both; in each range a running minimum from the
-    right finds the key, and what a range lacks is the first key of a later range. No non-equi join and no
-    window over all rows; the only unpartitioned step sees one row per range.
+    Keys and probes, each once, are dealt by Spark's range partitioner and written with the number of their range; in
+    each range a running minimum from the right finds the key, and what a range lacks is the first key of a later
+    range. No non-equi join and no window over all rows; the only unpartitioned step sees one row per range.
     """
-    keys = keys.select("user_key").distinct().select("user_key", F.col("user_key").alias("key"))
-    asked = probes.select("user_key").distinct().select("user_key", F.lit(None).cast("binary").alias("key"))
-    both = keys.unionByName(asked)
-    cuts = sorted(bytes(r[0]) for r in both.select("user_key").sample(1.0 if buckets <= 1 else min(1.0, 0.05), seed=7).limit(20_000).collect() if r[0] is not None)
-    cuts = sorted({cuts[k * len(cuts) // buckets] for k in range(1, buckets)}) if cuts else []
-    # The range number is a binary search written as a balanced tree of comparisons.
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("user_key") < F.lit(cuts[mid]), place(low, mid)).otherwise(place(mid + 1, high))
-
-    both = both.withColumn("range", place(0, len(cuts)))
-    right = Window.partitionBy("range").orderBy(F.col("user_key")).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    no, yes = F.lit(False), F.lit(True)
+    both = keys.select("user_key", yes.alias("stored"), no.alias("asked")).unionByName(probes.select("user_key", no.alias("stored"), yes.alias("asked")))
+    both = both.where(F.col("user_key").isNotNull()).groupBy("user_key").agg(F.max("stored").alias("stored"), F.max("asked").alias("asked"))
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = written(both.repartitionByRange(n, "user_key").withColumn("range", F.spark_partition_id()), "ceiling")
+    both = both.withColumn("key", F.when(F.col("stored"), F.col("user_key")))
+    right = Window.partitionBy("range").orderBy(F.col("user_key")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     firsts = both.groupBy("range").agg(F.min("key").alias("first"))
     later = firsts.select("range", F.min("first").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)).alias("next"))
-    near = both.withColumn("found", F.min("key").over(right)).where(F.col("key").isNull())
+    near = both.withColumn("found", F.min("key").over(right)).where("asked")
     return near.join(F.broadcast(later), "range", "left").select(F.col("user_key").alias("probe"), F.coalesce("found", "next").alias("ceiling"))
 
 
+MOST_CELLS = 64
+
+
 def delete_ranges(mutations: DataFrame, ranges: DataFrame) -> DataFrame:
     """The log without versions covered by a newer range deletion (start_key, end_key, sequence). Beyond parity.
 
-    Range deletions are few against the log; Spark chooses between a broadcast and a shuffled anti join.
+    The key space is cut into at most ``MOST_CELLS`` cells at starts of ranges, chosen by a hash; a range counts in each
+    cell that it meets, so the anti join is an equi-join on cells, which Spark shuffles if the ranges are many.
     """
-    r = ranges.select("start_key", "end_key", F.col("sequence").alias("deleted_at"))
+    r = ranges.where("start_key < end_key").select("start_key", "end_key", F.col("sequence").alias("deleted_at"))
+    sample = r.select("start_key").distinct().orderBy(F.xxhash64("start_key"), "start_key").limit(16 * MOST_CELLS)
+    starts = sorted(bytes(x[0]) for x in sample.collect())
+    cuts = sorted({starts[k * len(starts) // MOST_CELLS] for k in range(1, MOST_CELLS)}) if starts else []
+    cells = r.withColumn("cell", F.explode(F.sequence(_cell("start_key", cuts), _cell("end_key", cuts))))
     hit = (F.col("user_key") >= F.col("start_key")) & (F.col("user_key") < F.col("end_key")) & (F.col("sequence") < F.col("deleted_at"))
-    return mutations.join(r, hit, "left_anti")
+    placed = mutations.withColumn("_cell", _cell("user_key", cuts))
+    return placed.join(cells, (F.col("_cell") == F.col("cell")) & hit, "left_anti").drop("_cell")
+
+
+def _cell(key: str, cuts: list[bytes]) -> Column:
+    """Number of cuts at or before a key: a binary search written as a balanced tree of comparisons."""
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(key) < F.lit(bytearray(cuts[mid])), place(low, mid)).otherwise(place(mid + 1, high))
+
+    return place(0, len(cuts))
