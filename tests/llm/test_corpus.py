@@ -342,6 +342,62 @@ def test_quality_on_held_out_labels(spark):
     assert len(bad) > 3 and np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
 
 
+def test_quality_weights_equal_brute_force(spark):
+    """Both models counted n-gram by n-gram, and the weights of texts of any kind, the odd ones too."""
+    import math
+    from collections import Counter
+
+    from tidemark.llm import words
+    from tidemark.llm.common import mix
+
+    docs = [(r.doc_id, r.text) for r in odd_documents(spark).collect()] + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    docs = [(i, t if t is None or len(t) < 60_000 else t[:3000]) for i, t in docs]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in docs if i is not None and i >= 100], "doc_id long, quality int")
+    one = lambda x: mix(np.array([x], np.uint64))[0]
+    bucket = lambda x, k: k * quality.BUCKETS + int(one(x) >> np.uint64(64 - quality.BUCKET_BITS))
+
+    def ngrams(text):
+        import xxhash
+
+        ws = (text or "").encode().split()
+        with np.errstate(over="ignore"):
+            h = [words.split(w)[0][0] for w in ws]
+            s = [one(np.uint64(xxhash.xxh3_64_intdigest(quality.shape(w))) + np.uint64(k > 0 and ws[k - 1] == w)) for k, w in enumerate(ws)]
+            out = [bucket(x, 0) for x in h] + [bucket(one(a ^ one(b)), 1) for a, b in zip(h, h[1:])]
+            padded = [*s[:1], *s, *s[-1:]]
+            return out + [bucket(one(a + one(b + one(c))), 2) for a, b, c in zip(padded, padded[1:], padded[2:])]
+
+    grams = [(i, ngrams(t)) for i, t in docs]
+    good = set(quality._labelled(labels, 1, quality.MOST_LABELLED)[::2])
+    raw, target = Counter(g for _, x in grams for g in x), Counter(g for i, x in grams if i in good for g in x)
+    total = [[sum(n for g, n in c.items() if g // quality.BUCKETS == k) for k in range(3)] for c in (raw, target)]
+    weight = lambda g: math.log((target[g] + quality.SMOOTHING) / (raw[g] * total[1][g // quality.BUCKETS] / total[0][g // quality.BUCKETS] + quality.SMOOTHING))
+    want = sorted((len(x), round(sum(map(weight, x)), 2)) for _, x in grams)
+    got = quality.quality(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels).collect()
+    assert len(got) == len(want) and np.allclose(sorted((r.n_ngrams, round(r.log_weight, 2)) for r in got), want, rtol=1e-4, atol=0.03)
+    assert all(abs(r.scaled - quality.LENGTH * r.log_weight / max(1, r.n_ngrams)) < 1e-6 for r in got)
+
+
+def test_resampling_is_by_weight_and_noise(spark):
+    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.quality(docs, labels, share=0.4).collect()
+    kept = [r for r in got if r.kept]
+    assert len(kept) == round(0.4 * len(got))
+    best = sorted((r.scaled for r in got), reverse=True)[len(kept) - 1]
+    assert 0.02 < np.mean([r.scaled < best for r in kept]) < 0.5  # noise changes the sample
+    order = sorted(got, key=lambda r: r.scaled)
+    share = [np.mean([r.kept for r in order[k * len(order) // 4 : (k + 1) * len(order) // 4]]) for k in range(4)]
+    assert share == sorted(share) and share[3] > share[1] + 0.1  # inclusion grows with weight
+    calm = quality.quality(docs, labels, share=0.4, temperature=1e-9).collect()
+    assert min(r.scaled for r in calm if r.kept) >= best - 1e-5
+
+
+def test_ties_and_repeated_rows_in_quality(spark):
+    rows = [(i, "same words in every text") for i in range(30)] + [(3, "same words in every text")] * 5
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), temperature=0.0, share=0.2).collect()
+    assert len(got) == 35 and all(r.kept for r in got)  # all tie at the k-th place
+
+
 def test_top_k_is_exact(spark):
     rnd = random.Random(6)
     values = [round(rnd.uniform(-1e6, 1e6), 3) for _ in range(500)] + [3.0] * 40

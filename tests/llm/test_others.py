@@ -1,6 +1,7 @@
 """Nearest neighbours, line dedup, archives, toxicity and licences against brute force, and their edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF, SF2
 from tests.llm.test_corpus import odd_documents
-from tidemark.llm import ann, licences, lines, toxicity, warc
+from tidemark.llm import ann, licences, lines, toxicity, warc, words
 
 
 def test_nearest_recall_and_scores(spark):
@@ -132,13 +133,10 @@ def test_words_by_arrays_equal_split():
     for piece in (7, 1 << 16):
         for _ in range(200):
             data = bytes(rnd.choice(b" \t\n\x0b\x0c\r\x1c\x85abcdefgA\xc3\xa9\0") for _ in range(rnd.randrange(200))) + rnd.choice([b"", b"x" * 300, b"\n"])
-            lines._PIECE, kept = piece, lines._PIECE
-            try:
-                h, at = lines.word_hashes(data)
-            finally:
-                lines._PIECE = kept
-            want = [(k, w) for k, line in enumerate(data.split(b"\n")) for w in line.split()]
-            assert at.tolist() == [k for k, _ in want]
+            h, first, last = words.split(data, piece)
+            want = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+            assert list(zip(first.tolist(), last.tolist(), strict=True)) == [(k, k + len(w)) for k, w in want]
+            assert [k for k, _ in enumerate(data.split())] == list(range(len(want)))
             by = dict(zip([w for _, w in want], h.tolist(), strict=True))
             assert [by[w] for _, w in want] == h.tolist() and len(set(by.values())) == len(by)
 

@@ -1,8 +1,5 @@
 """What the operators share: written intermediate tables, word hashing, batch helpers."""
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,25 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path
+
 # The white space of all contracts, as a class for Java and DuckDB patterns and as bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where it names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 class Scratch:
     """Tables that an operator writes to the shared folder, so that lost executors cost no more than a stage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+        self.spark, self.root = spark, new_path(spark, name)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -104,29 +94,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembering the first ``most`` words it meets."""
-
-    def __init__(self, most: int = 200_000):
-        import xxhash
-
-        self.known: dict[bytes, int] = {}
-        self.most, self.of = most, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, of, out = self.known, self.of, []
-        add, get, room = out.append, known.get, self.most - len(known)
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = of(w)
-                if room > 0:
-                    known[w] = h
-                    room -= 1
-            add(h)
-        return np.array(out, dtype=np.uint64)
-
-
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``k`` words; of fewer words, one hash of the whole sequence."""
     n = len(hashes)

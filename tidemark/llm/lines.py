@@ -12,15 +12,13 @@ have isn't compared pair by pair: each of its lines meets the earliest one, its
 that meets the others by a prefix join on the differences from the leader, as near_dedup does it.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, Scratch, mapped, mix, numbered
+from . import words
+from .common import Scratch, mapped, mix, numbered
 from .near_dedup import COUNT_BITS, difference_pairs
 
 SIMILARITY = 0.8
@@ -34,8 +32,6 @@ COMMON = 4096
 MOST_EACH = 2
 #: Entries of a part, about.
 PART_ENTRIES = 1 << 18
-#: Bytes of text that are split at once.
-_TEXT_BYTES = 1 << 20
 
 #: What a row of the table of lines is: a line (its number), a document, or a slice of word counts.
 DOCUMENT, COUNTS = -1, -2
@@ -43,57 +39,14 @@ LINES = "row long, doc_id long, line int, n int, k long, bits long, counts binar
 ENTRY = np.dtype([("word", "<u8"), ("k", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
 
-_SPACE = bytes(x in SPACE_BYTES for x in range(256))
-_FIND_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_PIECE = 1 << 16
-#: Which of eight bytes count, by how many are left of a word; the first byte is the lowest.
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_ODD, _32 = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a text and the line that each is in, by arrays.
-
-    Words are taken in eight bytes at a time, all words at once; only those that are longer go on. Long texts go by
-    pieces that end at white space.
-    """
-    hashes, lines, at, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
-    while at < len(data):
-        end = _FIND_SPACE.search(data, at + _PIECE)
-        to = end.start() if end else len(data)
-        part = data[at:to]
-        edges = np.flatnonzero(np.diff(np.frombuffer(part.translate(_SPACE), bool), prepend=True, append=True))
-        first, last = edges[::2], edges[1::2]
-        # Eight bytes from any place on.
-        eight = np.ndarray(len(part) + 1, "<u8", part + bytes(8), strides=(1,))
-        left, own = last - first, None
-        h = left.astype(np.uint64) * _ODD
-        while len(left):
-            got = eight[first] & _MASKS[np.minimum(left, 8)]
-            if own is None:
-                h = (h ^ got) * _ODD
-                h ^= h >> _32
-                on = np.flatnonzero(left > 8)
-                own = on
-            else:
-                more = (h[own] ^ got) * _ODD
-                h[own] = more ^ (more >> _32)
-                on = np.flatnonzero(left > 8)
-                own = own[on]
-            first, left = first[on] + 8, left[on] - 8
-        hashes.append(mix(h))
-        breaks = np.flatnonzero(np.frombuffer(part, np.uint8) == 10)
-        counts = np.diff(np.searchsorted(edges[::2], breaks), prepend=0, append=len(h))
-        lines.append(np.repeat(np.arange(line, line + len(counts)), counts))
-        at, line = to, line + len(breaks)
-    return np.concatenate(hashes), np.concatenate(lines)
-
-
 def line_sets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the lines that have words, sizes of their sets, and word hashes, ascending in each line; A-Z lower-cased."""
-    h, line = word_hashes(data.lower())
+    h, first, _ = words.split(data.lower())
     if not len(h):
-        return line, line, h
+        return first, first, h
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    counts = np.diff(np.searchsorted(first, breaks), prepend=0, append=len(h))
+    line = np.repeat(np.arange(len(counts)), counts)
     key = (line.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
     order = np.argsort(key)
     sorted_h, sorted_line = h[order], line[order]
@@ -134,19 +87,13 @@ class _Texts:
 
     def parts(self, batch: pa.RecordBatch):
         """(first text, texts, lines of each text, their texts, numbers, sizes, hashes, k, bits) for runs of texts of a batch."""
-        column = batch.column("text")
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _TEXT_BYTES, "right")) - 1)
-            texts = [t or b"" for t in column.slice(at, to - at).cast(pa.binary()).to_pylist()]
+        for at, texts in words.parts(batch.column("text")):
             n_lines = np.array([t.count(b"\n") + 1 for t in texts])
             numbers, sizes, flat = line_sets(b"\n".join(texts))
             starts = np.cumsum(n_lines) - n_lines
             owner = np.searchsorted(starts, numbers, "right") - 1
             k, bits = set_keys(flat, np.cumsum(sizes) - sizes) if len(sizes) else (np.zeros(0, np.uint64),) * 2
-            yield at, to - at, n_lines, owner, numbers - starts[owner], sizes, flat, k, bits
-            at = to
+            yield at, len(texts), n_lines, owner, numbers - starts[owner], sizes, flat, k, bits
 
 
 class _Lines(_Texts):

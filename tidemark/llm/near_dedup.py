@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mapped, mix, shingles, unused
+from . import words
+from .common import Scratch, mapped, mix, shingles, unused
 from .components import components
 
 WORDS = 5
@@ -79,16 +80,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def shingle_sets(texts: pa.Array, k: int):
+    """Sorted distinct hashes of the shingles of each text."""
+    for _, some in words.parts(texts):
+        h, first, _ = words.split(b"\n".join(some).lower())
+        cuts = np.searchsorted(first, np.cumsum([len(t) + 1 for t in some]))
+        for a, b in zip(np.concatenate([[0], cuts]), cuts, strict=False):
+            yield shingles(h[a:b], k)
+
+
 def _signatures(k: int):
     def make():
         import xxhash
 
-        hashes = WordHashes()
-
         def run(batch: pa.RecordBatch) -> dict:
             sizes, sets, bands = [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingles(hashes(words_of(text)), k)
+            for h in shingle_sets(batch.column("text"), k):
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 bands.append(band_keys(sketch(h)) if len(h) else None)
@@ -112,10 +119,8 @@ def _sets(k: int):
     def make():
         import xxhash
 
-        hashes = WordHashes()
-
         def run(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(hashes(words_of(text)), k) for text in batch.column("text").to_pylist()]
+            sets = list(shingle_sets(batch.column("text"), k))
             return {"set": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "h": lists(sets)}
 
         return run

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import Scratch, mapped, mix, numbered, without_rows
-from .lexicon import Lexicon
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -23,8 +23,12 @@ FAMILIES = 3
 MOST_LABELLED = 20_000
 #: Added to each bucket's count in the target and to the count expected of it, so that rare n-grams weigh little.
 SMOOTHING = 10.0
-#: Standard of the Gumbel noise against the log weight; small values sample the best, large ones evenly.
-TEMPERATURE = 0.05
+#: Factor of the Gumbel noise; 1 samples by weight, small values take the best, large ones sample evenly.
+TEMPERATURE = 1.0
+#: n-grams of the text that a scaled weight stands for; more bring the sample nearer to the best k.
+LENGTH = 100
+#: Words whose shapes a task remembers.
+MOST_SHAPES = 400_000
 
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[0-9]+", "0"), (r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a"), (r"(\W)\1+", r"\1\1"))]
 _SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -37,45 +41,56 @@ def shape(word: bytes) -> str:
     return text[:16]
 
 
-def _lexicon() -> Lexicon:
-    import xxhash
-
-    of = xxhash.xxh3_64_intdigest
-    return Lexicon([of, lambda w: of(shape(w))], [np.uint64, np.uint64])
-
-
-def ngrams(lexicon: Lexicon, text: str | None) -> np.ndarray:
-    """Bucket numbers of all n-grams of a text, family by family; none for a text without words."""
-    words = (text or "").encode().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h, s = lexicon(words)
-    again = np.zeros(len(h), np.uint64)
-    again[1:] = h[1:] == h[:-1]
-    s = mix(s + again)
-    pairs = mix(h[:-1] ^ mix(h[1:]))
-    padded = np.concatenate([s[:1], s, s[-1:]])
-    triples = mix(padded[:-2] + mix(padded[1:-1] + mix(padded[2:])))
-    parts = [(mix(x) >> _SHIFT).astype(np.int64) + k * BUCKETS for k, x in enumerate((h, pairs, triples))]
-    return np.concatenate(parts)
+class _Ngrams:
+    """Bucket numbers of the n-grams of a run of texts, with the text that each is of, family by family."""
+
+    def __init__(self):
+        import xxhash
+
+        self.of, self.known = xxhash.xxh3_64_intdigest, {}
+
+    def shapes(self, data: bytes, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of each word's shape; those of so many words are remembered."""
+        own, at, back = np.unique(h, return_index=True, return_inverse=True)
+        known, out = self.known, np.empty(len(own), np.uint64)
+        if len(known) > MOST_SHAPES:
+            known.clear()
+        for k, (word, a, b) in enumerate(zip(own.tolist(), first[at].tolist(), last[at].tolist(), strict=True)):
+            s = known.get(word)
+            if s is None:
+                s = known[word] = self.of(shape(data[a:b]))
+            out[k] = s
+        return out[back]
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        data = b"\n".join(texts)
+        h, first, last = words.split(data)
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, "right")
+        together = owner[1:] == owner[:-1]
+        again = np.zeros(len(h), np.uint64)
+        again[1:] = together & (h[1:] == h[:-1])
+        s = mix(self.shapes(data, h, first, last) + again)
+        before, behind = s.copy(), s.copy()
+        before[1:][together], behind[:-1][together] = s[:-1][together], s[1:][together]
+        pairs = mix(h[:-1] ^ mix(h[1:]))[together]
+        triples = mix(before + mix(s + mix(behind)))
+        families = ((h, owner), (pairs, owner[:-1][together]), (triples, owner))
+        return [((mix(x) >> _SHIFT).astype(np.int64) + k * BUCKETS, of) for k, (x, of) in enumerate(families)]
 
 
 class _Count:
     def __init__(self, good: frozenset):
-        self.good, self.lexicon = good, _lexicon()
+        self.good, self.ngrams = good, _Ngrams()
         self.raw, self.target = (np.zeros(FAMILIES * BUCKETS, np.int64) for _ in range(2))
 
     def __call__(self, batch: pa.RecordBatch):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = ngrams(self.lexicon, text)
-            counts = np.bincount(ids, minlength=len(self.raw)) if len(ids) > 20_000 else None
-            for table, wanted in ((self.raw, True), (self.target, doc_id in self.good)):
-                if wanted:
-                    if counts is not None:
-                        table += counts
-                    else:
-                        np.add.at(table, ids, 1)
-        return None
+        ids = batch.column("doc_id").to_pylist()
+        for at, texts in words.parts(batch.column("text")):
+            good = np.array([i in self.good for i in ids[at : at + len(texts)]], bool)
+            for buckets, owner in self.ngrams(texts):
+                self.raw += np.bincount(buckets, minlength=len(self.raw))
+                if good.any():
+                    self.target += np.bincount(buckets[good[owner]], minlength=len(self.target))
 
     def end(self):
         at = np.flatnonzero(self.raw)
@@ -84,15 +99,16 @@ class _Count:
 
 class _Score:
     def __init__(self, ratios: np.ndarray):
-        self.ratios, self.lexicon = ratios, _lexicon()
+        self.ratios, self.ngrams = ratios, _Ngrams()
 
     def __call__(self, batch: pa.RecordBatch):
-        weights, sizes = [], []
-        for text in batch.column("text").to_pylist():
-            ids = ngrams(self.lexicon, text)
-            weights.append(float(self.ratios[ids].sum()))
-            sizes.append(len(ids))
-        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "log_weight": weights, "n_ngrams": sizes}
+        for at, texts in words.parts(batch.column("text")):
+            weights, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for buckets, owner in self.ngrams(texts):
+                weights += np.bincount(owner, self.ratios[buckets], len(texts))
+                sizes += np.bincount(owner, minlength=len(texts))
+            own = {c: batch.column(c).slice(at, len(texts)) for c in ("row", "doc_id")}
+            yield own | {"log_weight": weights, "n_ngrams": sizes, "scaled": LENGTH * weights / np.maximum(sizes, 1)}
 
 
 def _labelled(labels: DataFrame, value: int, most: int) -> list:
@@ -148,17 +164,22 @@ def top_k(scored: DataFrame, column: str, k: int) -> float:
     return prefix / 1e6
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, row: str | None = None) -> DataFrame:
-    """row, doc_id, log_weight, n_ngrams, sample_key, kept for each row of ``docs`` (doc_id, text; others are ignored).
+def quality(
+    docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, row: str | None = None, share: float | None = None
+) -> DataFrame:
+    """row, doc_id, log_weight, n_ngrams, scaled, sample_key, kept for each row of ``docs`` (doc_id, text; others are ignored).
 
-    The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``). k is the
-    number of documents whose log weight is at or over the threshold that parts the labelled ones best, and the k
-    documents with the largest log_weight + temperature * Gumbel noise are kept; noise is a hash of doc_id, so that reruns
-    agree. The log weight is a sum over the text in nats, so the default temperature makes this a threshold but for
-    documents within a fraction of a nat of it. ``row`` is the value of the column ``row`` names, which has to be written; without one the input is
-    written once with a row id.
+    The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``).
+    ``log_weight`` is the log ratio of both models' probabilities of the text, ``scaled`` what it would be of a text of
+    LENGTH n-grams like it, so that long texts aren't sampled for their length alone. The k documents with the largest
+    scaled + temperature * Gumbel noise are kept, a sample without replacement by weight; noise is a hash of doc_id, so
+    that reruns agree. k is ``share`` of all documents, or, where that is None, the number that a filter would keep:
+    those whose scaled weight is at or over the threshold that parts the labelled documents (that the target model
+    wasn't fitted to) best. ``row`` is the value of the column ``row`` names, which has to be written; without one the
+    input is written once with a row id.
     Null and empty texts weigh 0 as any without words; without labels of both kinds nothing is dropped. Ties at the k-th
-    place are all kept. Null doc_ids share one noise value; repeated rows are scored each. An empty table gives no rows.
+    place are all kept. Null doc_ids share one noise value; repeated rows are scored each, and count once, by the
+    least weight, for the threshold. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -170,17 +191,21 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELL
     targets = spark.sparkContext.broadcast(frozenset(good[::2]))  # at most most_labelled identifiers
     counts = mapped(rows, "bucket long, raw long, target long", lambda: _Count(targets.value)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     ratios = spark.sparkContext.broadcast(log_ratios(counts).astype(np.float32))  # FAMILIES * BUCKETS values
-    scored = scratch.keep(mapped(rows, "row long, doc_id long, log_weight double, n_ngrams long", lambda: _Score(ratios.value)), "scored")
+    scored = scratch.keep(mapped(rows, "row long, doc_id long, log_weight double, n_ngrams long, scaled double", lambda: _Score(ratios.value)), "scored")
     known = spark.createDataFrame([(x, 1) for x in good[1::2]] + [(x, 0) for x in bad], "doc_id long, y int")
-    sample = [(r.log_weight, r.y) for r in scored.join(known, "doc_id").select("log_weight", "y").limit(2 * most_labelled).collect()]
+    labelled = scored.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("scaled").alias("scaled"))  # at most 2 * most_labelled rows
+    sample = [(r.scaled, r.y) for r in labelled.collect()]
     cut = threshold(sample) if good and bad else -math.inf
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     noise = -F.log(-F.log(uniform))
-    keyed = scored.withColumn("sample_key", F.col("log_weight") + F.lit(temperature) * noise)
-    k = scored.where(F.col("log_weight") >= F.lit(cut)).count() if math.isfinite(cut) else scored.count()
+    keyed = scored.withColumn("sample_key", F.col("scaled") + F.lit(temperature) * noise)
+    if share is not None:
+        k = round(share * scored.count())
+    else:
+        k = scored.where(F.col("scaled") >= F.lit(cut)).count() if math.isfinite(cut) else scored.count()
     least = top_k(keyed, "sample_key", k) if 0 < k else math.inf
     kept = F.round(F.col("sample_key") * 1e6).cast("long") >= F.lit(round(least * 1e6) if math.isfinite(least) else (1 << 62))
-    return keyed.select("row", "doc_id", "log_weight", "n_ngrams", "sample_key", kept.alias("kept"))
+    return keyed.select("row", "doc_id", "log_weight", "n_ngrams", "scaled", "sample_key", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
