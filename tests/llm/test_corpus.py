@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import same
@@ -400,10 +401,18 @@ def test_ties_and_repeated_rows_in_quality(spark):
 
 def test_top_k_is_exact(spark):
     rnd = random.Random(6)
-    values = [round(rnd.uniform(-1e6, 1e6), 3) for _ in range(500)] + [3.0] * 40
-    df = spark.createDataFrame([(v,) for v in values], "v double")
+    values = [rnd.randint(-(10**12), 10**12) for _ in range(500)] + [3] * 40
+    df = spark.createDataFrame([(v,) for v in values], "v long")
     for k in (1, 7, 270, 540):
-        assert abs(quality.top_k(df, "v", k) - sorted(values, reverse=True)[k - 1]) < 1e-5
+        assert quality.top_k(df, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_good_documents_are_those_of_the_query(spark):
+    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("scaled", F.lit(1)).withColumn("c0", F.lit("x"))
+    out = quality.keep_good(docs, labels)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in quality.quality(docs, labels).collect() if r.kept)
 
 
 def test_pipeline_end_to_end(spark):

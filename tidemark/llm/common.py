@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shared import new_path
 
@@ -25,19 +26,31 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
     def drop(self, name: str) -> None:
         """Removes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, folder = self._folder(f"{self.root}/{name}")
+        files.delete(folder, True)
+
+    def last(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes what the operator returns and removes all its other tables."""
+        out = self.keep(df, name)
+        files, folder = self._folder(self.root)
+        for other in files.listStatus(folder):
+            if other.getPath().getName() != name:
+                files.delete(other.getPath(), True)
+        return out
 
 
-def mapped(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict | Iterator[dict] | None]]) -> DataFrame:
+def mapped(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict | Iterator[dict] | None]]) -> DataFrame:
     """``df`` through a function of batches that is made anew in each task, and gives none, one or several. A dict of columns takes its types from the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -253,7 +253,7 @@ def exact_dedup(docs: DataFrame, task_bytes: int = TASK_BYTES, partition_bytes:
     owners = mapped(local.repartition("n_bytes", "text_sha256"), CLASSES, lambda: _Own(partition_bytes)).drop("body", "n_chars")
     owners = scratch.keep(owners.select("n_bytes", "text_sha256", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("copies").alias("group_size")), "owners")
     joined = members.join(owners, ["n_bytes", "text_sha256"])
-    return joined.select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return scratch.last(joined.select("row", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"))
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:

@@ -396,7 +396,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None
     out = judged.where((F.col("row") != F.col("first_row")) | (F.col("line") != F.col("first_line")) | F.coalesce("gone", F.lit(False)))
     per_row = out.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # lines of one document
     documents = table.where(F.col("line") == DOCUMENT).select("row", "doc_id", F.col("n").alias("n_lines"))
-    return documents.join(per_row, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return scratch.last(documents.join(per_row, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))))
 
 
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -139,9 +139,10 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
         F.sum(F.when(F.col("round") == 2, F.col("words")).otherwise(0)).alias("second_take"),
     )
     none = F.lit(0).cast("long")
-    return placed.join(got, "row", "left").select(
+    out = placed.join(got, "row", "left").select(
         "row", "doc_id", "size", "source", "source_size", "target", *[F.coalesce(c, none).alias(c) for c in ("taken", "first_take", "second_take")]
     )
+    return scratch.last(out)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

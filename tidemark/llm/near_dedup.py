@@ -278,7 +278,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     out = out.unionByName(known.where(F.col("set").isNull()).join(bare, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
     out = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
     nobody = signed.where(F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nobody)
+    return scratch.last(out.unionByName(nobody))
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

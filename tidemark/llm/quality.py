@@ -10,11 +10,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import words
-from .common import Scratch, mapped, mix, numbered, without_rows
+from .common import Scratch, mapped, mix
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -28,7 +29,7 @@ TEMPERATURE = 1.0
 #: n-grams of the text that a scaled weight stands for; more bring the sample nearer to the best k.
 LENGTH = 100
 #: Words whose shapes a task remembers.
-MOST_SHAPES = 400_000
+MOST_SHAPES = 200_000
 
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[0-9]+", "0"), (r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a"), (r"(\W)\1+", r"\1\1"))]
 _SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -98,16 +99,18 @@ class _Count:
 
 
 class _Score:
-    def __init__(self, ratios: np.ndarray):
-        self.ratios, self.ngrams = ratios, _Ngrams()
+    """Weights of texts, with the columns named ``others``."""
+
+    def __init__(self, ratios: np.ndarray, others: list[str], text: str = "text"):
+        self.ratios, self.others, self.text, self.ngrams = ratios, others, text, _Ngrams()
 
     def __call__(self, batch: pa.RecordBatch):
-        for at, texts in words.parts(batch.column("text")):
+        for at, texts in words.parts(batch.column(self.text)):
             weights, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for buckets, owner in self.ngrams(texts):
                 weights += np.bincount(owner, self.ratios[buckets], len(texts))
                 sizes += np.bincount(owner, minlength=len(texts))
-            own = {c: batch.column(c).slice(at, len(texts)) for c in ("row", "doc_id")}
+            own = {c: batch.column(c).slice(at, len(texts)) for c in self.others}
             yield own | {"log_weight": weights, "n_ngrams": sizes, "scaled": LENGTH * weights / np.maximum(sizes, 1)}
 
 
@@ -147,10 +150,9 @@ def threshold(scores: list[tuple[float, int]]) -> float:
     return float(cuts[k] if k == 0 else (cuts[k - 1] + cuts[k]) / 2)
 
 
-def top_k(scored: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value of a double column, exactly: its sortable bits are found 16 at a time from counts of at most 65,536 groups."""
-    # Scores are compared at a millionth, as longs.
-    values = scored.select(F.round(F.col(column) * 1e6).cast("long").alias("v"))
+def top_k(scored: DataFrame, column: str, k: int) -> int:
+    """The k-th largest value of a long column, exactly: its bits are found 16 at a time from counts of at most 65,536 groups."""
+    values = scored.select(F.col(column).alias("v"))
     prefix, shift = None, 48
     while shift >= 0:
         inside = values if prefix is None else values.where(F.shiftright("v", shift + 16) == prefix)
@@ -161,13 +163,20 @@ def top_k(scored: DataFrame, column: str, k: int) -> float:
                 break
             k -= g.n
         shift -= 16
-    return prefix / 1e6
+    return prefix
+
+
+def uniform_of(doc_id: Column) -> Column:
+    return (F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
 
+def key_of(scaled: Column, doc_id: Column, temperature: float) -> Column:
+    """The weight with Gumbel noise, in millionths, as a long."""
+    return F.round((scaled - F.lit(temperature) * F.log(-F.log(uniform_of(doc_id)))) * 1e6).cast("long")
 
-def quality(
-    docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, row: str | None = None, share: float | None = None
-) -> DataFrame:
-    """row, doc_id, log_weight, n_ngrams, scaled, sample_key, kept for each row of ``docs`` (doc_id, text; others are ignored).
+
+def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
+    """row, doc_id, log_weight, n_ngrams, scaled, sample_key (in millionths), kept for each row of ``docs`` (doc_id, text; others are ignored).
 
     The raw model counts all documents, the target model half of those labelled good (at most ``most_labelled``).
     ``log_weight`` is the log ratio of both models' probabilities of the text, ``scaled`` what it would be of a text of
@@ -175,40 +184,50 @@ def quality(
     scaled + temperature * Gumbel noise are kept, a sample without replacement by weight; noise is a hash of doc_id, so
     that reruns agree. k is ``share`` of all documents, or, where that is None, the number that a filter would keep:
     those whose scaled weight is at or over the threshold that parts the labelled documents (that the target model
-    wasn't fitted to) best. ``row`` is the value of the column ``row`` names, which has to be written; without one the
-    input is written once with a row id.
+    wasn't fitted to) best. ``row`` numbers the rows of this result.
     Null and empty texts weigh 0 as any without words; without labels of both kinds nothing is dropped. Ties at the k-th
     place are all kept. Null doc_ids share one noise value; repeated rows are scored each, and count once, by the
     least weight, for the threshold. An empty table gives no rows.
     """
+    scored, _, least = _sampled(docs, labels, most_labelled, temperature, share)
+    return scored.withColumn("kept", F.col("sample_key") >= F.lit(least))
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, temperature: float, share: float | None):
+    """The scored rows with their keys, the log ratios of both models, and the least key that is kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    if row is None:
-        docs, row = numbered(docs.select("doc_id", "text"), scratch)
-    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     good, bad = _labelled(labels, 1, most_labelled), _labelled(labels, 0, most_labelled)
     # Half of the good documents fit the target model, the others the threshold: a model favours what it was fitted to.
     targets = spark.sparkContext.broadcast(frozenset(good[::2]))  # at most most_labelled identifiers
-    counts = mapped(rows, "bucket long, raw long, target long", lambda: _Count(targets.value)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = mapped(rows.drop("row"), "bucket long, raw long, target long", lambda: _Count(targets.value)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     ratios = spark.sparkContext.broadcast(log_ratios(counts).astype(np.float32))  # FAMILIES * BUCKETS values
-    scored = scratch.keep(mapped(rows, "row long, doc_id long, log_weight double, n_ngrams long, scaled double", lambda: _Score(ratios.value)), "scored")
+    scored = mapped(rows, "row long, doc_id long, log_weight double, n_ngrams long, scaled double", lambda: _Score(ratios.value, ["row", "doc_id"]))
+    scored = scratch.keep(scored.withColumn("sample_key", key_of(F.col("scaled"), F.col("doc_id"), temperature)), "scored")
     known = spark.createDataFrame([(x, 1) for x in good[1::2]] + [(x, 0) for x in bad], "doc_id long, y int")
     labelled = scored.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("scaled").alias("scaled"))  # at most 2 * most_labelled rows
     sample = [(r.scaled, r.y) for r in labelled.collect()]
     cut = threshold(sample) if good and bad else -math.inf
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    noise = -F.log(-F.log(uniform))
-    keyed = scored.withColumn("sample_key", F.col("scaled") + F.lit(temperature) * noise)
     if share is not None:
         k = round(share * scored.count())
     else:
         k = scored.where(F.col("scaled") >= F.lit(cut)).count() if math.isfinite(cut) else scored.count()
-    least = top_k(keyed, "sample_key", k) if 0 < k else math.inf
-    kept = F.round(F.col("sample_key") * 1e6).cast("long") >= F.lit(round(least * 1e6) if math.isfinite(least) else (1 << 62))
-    return keyed.select("row", "doc_id", "log_weight", "n_ngrams", "scaled", "sample_key", kept.alias("kept"))
+    return scored, ratios, top_k(scored, "sample_key", k) if 0 < k else 1 << 62
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects, columns unchanged."""
-    docs, own = numbered(docs, Scratch(docs.sparkSession, "quality"))
-    return without_rows(docs, own, quality(docs, labels, row=own).where(~F.col("kept")))
+def keep_good(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, temperature: float = TEMPERATURE) -> DataFrame:
+    """``docs`` without those that the classifier rejects, columns unchanged.
+
+    The weights are computed again as the texts are read for the output, which costs less than to store the texts with
+    row numbers and shuffle them; they come out the same, as the models are fixed.
+    """
+    _, ratios, least = _sampled(docs, labels, most_labelled, temperature, None)
+    # Columns by number, as names may differ in case alone.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text")}
+    schema = StructType([*plain.schema.fields, *[StructField(c, t) for c, t in (("log_weight", DoubleType()), ("n_ngrams", LongType()), ("scaled", DoubleType()))]])
+    columns, text = plain.columns, at["text"]
+    weighed = mapped(plain, schema, lambda: _Score(ratios.value, columns, text))
+    kept = weighed.where(key_of(F.col("scaled"), F.col(at["doc_id"]), temperature) >= F.lit(least))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

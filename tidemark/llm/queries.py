@@ -54,7 +54,7 @@ def op9_mix(spark, d):
 
 
 def op10_quality(spark, d):
-    return quality.quality(_table(spark, d, "documents"), _table(spark, d, "labels")).select("doc_id", F.round("log_weight", 6).alias("log_weight"), "n_ngrams", F.round("sample_key", 6).alias("sample_key"), "kept")
+    return quality.quality(_table(spark, d, "documents"), _table(spark, d, "labels")).select("doc_id", F.round("log_weight", 6).alias("log_weight"), "n_ngrams", (F.col("sample_key") / 1e6).alias("sample_key"), "kept")
 
 
 EXACT_SQL = r"""
