@@ -50,7 +50,7 @@ def _valid(column) -> tuple[np.ndarray, np.ndarray | None]:
 def _packed(batch: pa.RecordBatch) -> dict:
     ok, rows = _valid(batch.column("embedding"))
     ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[ok]
-    return {"vec_id": ids, "dimension": [len(v) for v in rows], "band": [band(v) for v in rows], "vector": [v.tobytes() for v in rows]}
+    return {"own": batch.column("own").to_numpy()[ok], "vec_id": ids, "dimension": [len(v) for v in rows], "band": [band(v) for v in rows], "vector": [v.tobytes() for v in rows]}
 
 
 def band(v: np.ndarray) -> int:
@@ -143,7 +143,7 @@ def _search(k: int):
         held: dict = {}
 
         def run(batch: pa.RecordBatch) -> dict:
-            out = {"query_id": [], "vec_id": [], "score": []}
+            out = {"own": [], "query_id": [], "vec_id": [], "score": []}
             for r in batch.to_pylist():
                 d = r["dimension"]
                 key = (r["block"], d)
@@ -152,7 +152,9 @@ def _search(k: int):
                     ids = np.frombuffer(r["ids"], np.int64)
                     held[key] = ids, np.frombuffer(r["vectors"], float).reshape(len(ids), d), np.frombuffer(r["order"], np.int32).reshape(-1, len(ids)).astype(np.intp), np.frombuffer(r["values"], float).reshape(-1, len(ids))
                 query_ids, q = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["queries"], float).reshape(-1, d)
-                for query_id, (ids, scores) in zip(query_ids, search_block(*held[key], query_ids, q, k), strict=True):
+                owns = np.frombuffer(r["query_rows"], np.int64)
+                for own, query_id, (ids, scores) in zip(owns, query_ids, search_block(*held[key], query_ids, q, k), strict=True):
+                    out["own"] += [own] * len(ids)
                     out["query_id"] += [query_id] * len(ids)
                     out["vec_id"] += ids.tolist()
                     out["score"] += scores.tolist()
@@ -164,7 +166,7 @@ def _search(k: int):
 
 
 def _chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return pa.table({"dimension": pa.array([key[1].as_py()], pa.int32()), "query_ids": [table.column("vec_id").to_numpy().astype(np.int64).tobytes()], "queries": [b"".join(table.column("vector").to_pylist())]})
+    return pa.table({"dimension": pa.array([key[1].as_py()], pa.int32()), **{to: [table.column(c).to_numpy().astype(np.int64).tobytes()] for to, c in (("query_rows", "own"), ("query_ids", "vec_id"))}, "queries": [b"".join(table.column("vector").to_pylist())]})
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -173,12 +175,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, block_rows
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows but those with the query's vec_id.
     Score is the inner product in double precision; ties go to the smaller vec_id. Rows with a null vec_id, and vectors that
     are null, empty, zero or hold null or non-finite components take no part; only vectors of one length are compared.
-    Rows that share a vec_id are candidates each. A query without candidates has no rows, as has an empty table.
+    Rows that share a vec_id are candidates each, and queries each, with a list of their own. A query without candidates has no rows, as has an empty table.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    packed = scratch.keep(mapped(rows, "vec_id long, dimension int, band int, vector binary", lambda: _packed), "packed")
+    rows = vectors.where(F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("own"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    packed = scratch.keep(mapped(rows, "own long, vec_id long, dimension int, band int, vector binary", lambda: _packed), "packed")
     sizes = [tuple(r) for r in packed.groupBy("dimension", "band").count().collect()]  # at most some 15,000 bands a dimension
     n = sum(s[2] for s in sizes)
     plan = spark.createDataFrame(planned(sizes, block_rows), "dimension int, band int, first int, blocks int")
@@ -188,11 +190,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, block_rows
     queries = packed.where(F.col("vec_id") % every == 0)
     chunks = max(1, -(-n // every // chunk_rows))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("long"))
-    asked = asked.groupBy("chunk", "dimension").applyInArrow(_chunk, "dimension int, query_ids binary, queries binary")
+    asked = asked.groupBy("chunk", "dimension").applyInArrow(_chunk, "dimension int, query_rows binary, query_ids binary, queries binary")
     numbers = plan.groupBy("dimension").agg(F.max(F.col("first") + F.col("blocks")).cast("long").alias("all"))
-    asked = asked.join(F.broadcast(numbers), "dimension").select("dimension", "query_ids", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("block"))
+    asked = asked.join(F.broadcast(numbers), "dimension").select("dimension", "query_rows", "query_ids", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("block"))
     asked = scratch.keep(asked, "asked")
     pairs = index.join(asked, ["block", "dimension"]).repartition("block", "query_ids")
-    found = scratch.keep(mapped(pairs, "query_id long, vec_id long, score double", _search(k)), "found")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = scratch.keep(mapped(pairs, "own long, query_id long, vec_id long, score double", _search(k)), "found")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scratch.last(out)
