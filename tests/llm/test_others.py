@@ -94,6 +94,12 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_queries_that_share_an_identifier_have_lists_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 1, 2.0), (20, 1, 2, 3.0), (20, 2, 1, 1.0), (20, 2, 2, 1.0)]
+
+
 def brute_lines(docs, percent=80):
     out, earlier = {}, []
     for i, text in docs:
@@ -177,6 +183,20 @@ def test_lines_odd_rows(spark):
     assert [r.text for r in out.where("doc_id = 1").collect()] == [None]
 
 
+def test_look_ups_read_few_ranges(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 97}.org/p{k // 5}", f"body {k}") for k in range(3000)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), block_lines=10)
+    reads, read = [], warc._range
+    monkeypatch.setattr(warc, "_range", lambda *a, **k: reads.append(a[1:]) or read(*a, **k))
+    for k in (0, 1234, 2999):
+        reads.clear()
+        want = sorted(i for i, url, _ in rows if url == rows[k][1])
+        assert [r["page_id"] for r in archive.lookup(rows[k][1])] == want
+        assert len(reads) <= 2 * 2 + len(want)  # a directory and a block, or two of each at an edge
+    reads.clear()
+    assert archive.lookup("http://none.org/") == [] and len(reads) <= 2
+
+
 def test_archive_lookup_and_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     extra = [(10_001, "http://www.a.org:80/x?q=1", "same é\r\n\r\nbody"), (10_002, "https://a.org/x?q=1", "same é\r\n\r\nbody"), (10_003, None, None), (10_004, "", ""), (None, "http://[bad", "x"), (10_005, "http://a.org/new\nline", "y")]

@@ -13,7 +13,7 @@ import gzip
 import hashlib
 import json
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -88,7 +88,8 @@ def parse(data: bytes) -> dict:
 
 
 ENTRIES = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n int"
+#: Level 0 is a block of the index, level 1 the sorted directory of all blocks of one index file.
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n int, level int"
 
 
 class _Files:
@@ -133,16 +134,20 @@ class _Archive:
 
 
 class _Index:
-    """Sorted entries into compressed blocks; returns the directory."""
+    """Sorted entries into compressed blocks, and a directory of them at the file's end; returns the places of both."""
 
     def __init__(self, root: str, lines: int):
-        self.files, self.lines, self.block = _Files(root, "idx", 1 << 40), lines, []
+        self.files, self.lines, self.block, self.cuts = _Files(root, "idx", 1 << 40), lines, [], []
+
+    def _put(self, rows: list, first: str, last: str, n: int, level: int) -> dict:
+        name, at, size = self.files.write(gzip.compress("\n".join(json.dumps(x) for x in rows).encode(), 6, mtime=0))
+        if level == 0:
+            self.cuts.append((first, last, at, size))
+        return {"first_key": [first], "last_key": [last], "file": [name], "offset": [at], "length": [size], "n": [n], "level": [level]}
 
     def _cut(self) -> dict:
         block, self.block = self.block[: self.lines], self.block[self.lines :]
-        data = gzip.compress("\n".join(json.dumps(x) for x in block).encode(), 6, mtime=0)
-        name, at, size = self.files.write(data)
-        return {"first_key": [block[0][0]], "last_key": [block[-1][0]], "file": [name], "offset": [at], "length": [size], "n": [len(block)]}
+        return self._put(block, block[0][0], block[-1][0], len(block), 0)
 
     def __call__(self, batch: pa.RecordBatch):
         self.block += [list(r.values()) for r in batch.to_pylist()]
@@ -154,6 +159,8 @@ class _Index:
     def end(self):
         while self.block:
             yield self._cut()
+        if self.cuts:
+            yield self._put(self.cuts, self.cuts[0][0], self.cuts[-1][1], len(self.cuts), 1)
         self.files.close()
 
 
@@ -177,24 +184,35 @@ class Archive:
     """Archives, index and directory under one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self._roots = spark, root, None
 
     def directory(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/directory")
+        """The blocks of the index."""
+        return self.spark.read.parquet(f"{self.root}/directory").where("level = 0").drop("level")
+
+    def roots(self) -> list:
+        """The index files' directories in the order of their keys, read once: a row a file, each from its own range of keys."""
+        if self._roots is None:
+            rows = self.spark.read.parquet(f"{self.root}/directory").where("level = 1").collect()
+            self._roots = sorted(rows, key=lambda r: (r.first_key, r.last_key))
+        return self._roots
 
     def lookup(self, url: str) -> list[dict]:
-        """The captures of a URL: the directory narrows to blocks that may hold the key, each is one range read."""
-        key = url_key(url)
-        found = []
-        near = self.directory().where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key")
-        for d in near.toLocalIterator():
-            lines = [json.loads(x) for x in _range(self.root, d.file, d.offset, d.length).split(b"\n")]
-            keys = [x[0] for x in lines]
-            end = bisect_right(keys, key)
-            while end and keys[end - 1] == key:
-                end -= 1
-                _, _, name, at, size = lines[end]
-                found.append(parse(_range(self.root, name, at, size)))
+        """The captures of a URL: binary searches in the files' directories, the directory and the block, each but the first one range read."""
+        key, found = url_key(url), []
+        roots = self.roots()
+        for root in roots[bisect_left(roots, key, key=lambda r: r.last_key) :]:
+            if root.first_key > key:
+                break
+            blocks = [json.loads(x) for x in _range(self.root, root.file, root.offset, root.length).split(b"\n")]
+            for first, _, offset, length in blocks[bisect_left(blocks, key, key=lambda b: b[1]) :]:
+                if first > key:
+                    break
+                lines = [json.loads(x) for x in _range(self.root, root.file, offset, length).split(b"\n")]
+                for own, _, name, at, size in lines[bisect_left(lines, key, key=lambda x: x[0]) :]:
+                    if own != key:
+                        break
+                    found.append(parse(_range(self.root, name, at, size)))
         return sorted(found, key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
 
     def entries(self) -> DataFrame:
