@@ -105,10 +105,11 @@ def schedule(goals: DataFrame, block: int, scratch: Scratch) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, most: float = MOST, row: str | None = None) -> DataFrame:
-    """row, doc_id, size, source, source_size, target, taken, first_take, second_take for each row of ``docs``.
+    """row, doc_id, size, source, source_size, target, taken, first_take, second_take, first_slot for each row of ``docs``.
 
     ``taken`` counts the words that the scheduled blocks take of the document, repeats counted; first_take and
-    second_take are those of the stream's first and second round, each from the document's first word on.
+    second_take are those of the stream's first and second round, each from the document's first word on. ``first_slot``
+    is the first slot of the schedule that takes of it, null if none does: in its order every prefix keeps the weights.
     Sources are taken in code point order with null last; null texts have no words; null doc_ids are told apart
     by row, the column that ``row`` names and that has to be written, or else a row id of this one scan; rows that share a doc_id count each. An empty
     table gives no rows, and a source without words a target of 0.
@@ -137,10 +138,11 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
         F.sum("words").alias("taken"),
         F.sum(F.when(F.col("round") == 1, F.col("words")).otherwise(0)).alias("first_take"),
         F.sum(F.when(F.col("round") == 2, F.col("words")).otherwise(0)).alias("second_take"),
+        F.min("slot").alias("first_slot"),
     )
     none = F.lit(0).cast("long")
     out = placed.join(got, "row", "left").select(
-        "row", "doc_id", "size", "source", "source_size", "target", *[F.coalesce(c, none).alias(c) for c in ("taken", "first_take", "second_take")]
+        "row", "doc_id", "size", "source", "source_size", "target", *[F.coalesce(c, none).alias(c) for c in ("taken", "first_take", "second_take")], "first_slot"
     )
     return scratch.last(out)
 
