@@ -35,7 +35,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Sketches, models and the genetic packer have no SQL; tests hold the stages against brute force.
+#: Sketches, models and the genetic packer have no SQL. tests/llm compares the operators behind the stages with brute force.
 ORACLE_SQL = None
 
 
