@@ -1,7 +1,9 @@
 """Nearest neighbours, line dedup, archives, toxicity and licences against brute force, and their edge cases."""
 
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -243,6 +245,47 @@ def test_toxicity_finds_toxic_sentences(spark):
     assert toxicity.toxicity(d.limit(0), y.limit(0)).count() == 0
 
 
+def test_toxicity_learns_on_given_rows(spark):
+    """Held-out accuracy of the query's parameters; rows that weren't learned from, by the contract's remainder."""
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(d.join(y.select("doc_id"), "doc_id", "left_semi"), y).join(y, "doc_id").where("held_out").collect()
+    for toxic, least in ((1, 0.85), (0, 0.98)):
+        right = [r.predicted == toxic for r in got if r.toxic == toxic]
+        assert len(right) > 50 and np.mean(right) >= least
+    assert all(r.offending for r in got if r.predicted) and not any(r.offending for r in got if not r.predicted)
+
+
+def test_toxicity_ignores_what_it_must(spark):
+    docs = [(i, f"plain w{i % 7} words." + (" vileword here." if i % 3 == 0 else "")) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    flipped = [(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y) for i, y in labels]
+    a, b = (toxicity.toxicity(d, spark.createDataFrame(x, "doc_id long, toxic int")).orderBy("doc_id").collect() for x in (labels, flipped))
+    assert a == b  # labels of held-out rows, all wrong in the second run, change nothing
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in a)
+    clean = toxicity.toxicity(d, spark.createDataFrame([(i, 0) for i in range(300)], "doc_id long, toxic int"))
+    assert all(r.score < 0.01 for r in clean.collect())
+    twice = d.union(d.where("doc_id < 20").withColumn("text", F.lit(None).cast("string")))
+    scores = {(r.doc_id, r.score) for r in toxicity.toxicity(twice, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert scores == {(r.doc_id, r.score) for r in a} | {(i, 0.0) for i in range(20)}  # null texts are scored, not learned from
+
+
+def test_toxicity_statistic_and_gradient():
+    t, c, n1, n0 = np.array([5.0, 0.0, 7.0, 40.0]), np.array([0.0, 5.0, 7.0, 3.0]), 40, 60
+    got = toxicity.statistic(t, c, n1, n0)
+    for k in range(4):
+        rate, want = (t[k] + c[k]) / 100, 0.0
+        for count, of in ((t[k], n1), (c[k], n0)):
+            for x, share, both in ((count, count / of, rate), (of - count, 1 - count / of, 1 - rate)):
+                want += 2 * x * (math.log(share / both) if x else 0)
+        assert got[k] == pytest.approx(want, abs=1e-9)
+    # Sets of features with multiplicities give what their sentences one by one give.
+    bags = toxicity.Bags([(1, np.array([0, 0, 1]), np.array([1, 3, 3]), np.array([2, 1, 4])), (0, np.array([], int), np.array([0]), np.array([3]))])
+    model = np.array([1.5, -0.5, -2.0, 0.3])
+    z = [-2 - 0.3 * math.log(7) + x for x in (1.5, 1.5, 1.0, 0, 0, 0, 0)], [-2 - 0.3 * math.log(3)] * 3
+    assert bags.none(bags.scores(model)) == pytest.approx([sum(math.log1p(math.exp(x)) for x in own) for own in z])
+
+
 def test_licences_equal_brute_force(spark):
     files = [
         (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."),
