@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF, SF2
 from tests.llm.test_corpus import odd_documents
 from tidemark.llm import ann, licences, lines, toxicity, warc, words
+from tidemark.llm.common import CLEANUP, Scratch
 
 
 def test_nearest_recall_and_scores(spark):
@@ -177,6 +178,19 @@ def test_lines_of_crowds_equal_brute_force(spark):
     assert 100 < sum(map(len, want.values())) < 580
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Files of exchanges go when the table is written, not when the driver collects its garbage."""
+
+    def there():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, scratch = there(), Scratch(spark, "files")
+    assert len(scratch.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums").collect()) == 7
+    assert not there() - before
+    assert spark.conf.get(CLEANUP, "false") == "false"
+
+
 def test_lines_odd_rows(spark):
     docs = odd_documents(spark)
     out = lines.drop_lines(docs)

@@ -13,6 +13,8 @@ from ..shared import new_path
 # The white space of all contracts, as a class for Java and DuckDB patterns and as bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Has Spark remove a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -23,7 +25,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _folder(self, path: str):

@@ -375,6 +375,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None
 
     removed = gone(met.where("kb is not null").select("ka", "ba", "kb", "bb").distinct(), "gone-1")
     common = scratch.keep(met.where("kb is null").select("word", F.col("ka").alias("k"), F.col("ba").alias("bits"), F.col("na").alias("n")).distinct(), "common")
+    scratch.drop("met")
     if not common.isEmpty():
         known = common.join(nodes, own)
         leaders = known.groupBy("word").agg(F.min(F.struct("place", "k", "bits", "n")).alias("l"))
