@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,19 @@ def test_prefixes_of_differences_miss_no_similar_pair():
     assert met > 100
 
 
+def test_near_duplicates_hand_on_sets_in_bounded_parts():
+    """A batch's sets never stand in one table; the parts together are the batch."""
+    rnd = random.Random(4)
+    texts = [None, "", *(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000)) for _ in range(300))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    parts = list(near_dedup._sets(4)()(batch))
+    assert len(parts) > 2 and max(len(p["h"].flatten()) * 8 for p in parts) < 2 * batch.nbytes / len(parts) + (1 << 20)
+    assert [len(h) for p in parts for h in p["h"].to_pylist()] == [0, 0, *[2997] * 300]
+    signed = list(near_dedup._signatures(4)()(batch))
+    assert len(signed) == len(parts) and [d for p in signed for d in p["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert [n for p in signed for n in p["n_shingles"]] == [0, 0, *[2997] * 300]
+
+
 def test_near_duplicates_of_documents_with_several_texts(spark):
     a = " ".join(f"a{i}" for i in range(40))
     b = " ".join(f"b{i}" for i in range(40))

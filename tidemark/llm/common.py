@@ -1,5 +1,6 @@
 """What the operators share: written intermediate tables, word hashing, batch helpers."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,10 +70,19 @@ def mapped(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[
         if end is not None:
             for out in end():
                 yield record(out, arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system; Spark keeps the process for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

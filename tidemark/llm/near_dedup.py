@@ -81,25 +81,25 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingle_sets(texts: pa.Array, k: int):
-    """Sorted distinct hashes of the shingles of each text."""
-    for _, some in words.parts(texts):
+    """(first text, sorted distinct hashes of the shingles of each text) for runs of texts of a bounded size."""
+    for at, some in words.parts(texts):
         h, first, _ = words.split(b"\n".join(some).lower())
         cuts = np.searchsorted(first, np.cumsum([len(t) + 1 for t in some]))
-        for a, b in zip(np.concatenate([[0], cuts]), cuts, strict=False):
-            yield shingles(h[a:b], k)
+        yield at, [shingles(h[a:b], k) for a, b in zip(np.concatenate([[0], cuts]), cuts, strict=False)]
 
 
 def _signatures(k: int):
     def make():
         import xxhash
 
-        def run(batch: pa.RecordBatch) -> dict:
-            sizes, sets, bands = [], [], []
-            for h in shingle_sets(batch.column("text"), k):
-                sizes.append(len(h))
-                sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                bands.append(band_keys(sketch(h)) if len(h) else None)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "set": sets, "bands": lists(bands)}
+        def run(batch: pa.RecordBatch):
+            for at, some in shingle_sets(batch.column("text"), k):
+                yield {
+                    "doc_id": batch.column("doc_id").slice(at, len(some)),
+                    "n_shingles": [len(h) for h in some],
+                    "set": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in some],
+                    "bands": lists([band_keys(sketch(h)) if len(h) else None for h in some]),
+                }
 
         return run
 
@@ -119,9 +119,9 @@ def _sets(k: int):
     def make():
         import xxhash
 
-        def run(batch: pa.RecordBatch) -> dict:
-            sets = list(shingle_sets(batch.column("text"), k))
-            return {"set": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "h": lists(sets)}
+        def run(batch: pa.RecordBatch):
+            for _, some in shingle_sets(batch.column("text"), k):
+                yield {"set": [xxhash.xxh3_128_digest(h.tobytes()) for h in some], "h": lists(some)}
 
         return run
 
