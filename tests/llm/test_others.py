@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF, SF2
 from tests.llm.test_corpus import odd_documents
 from tidemark.llm import ann, licences, lines, toxicity, warc, words
-from tidemark.llm.common import CLEANUP, Scratch
+from tidemark.llm.common import BATCH, BATCH_BYTES, CLEANUP, Scratch
 
 
 def test_nearest_recall_and_scores(spark):
@@ -191,6 +191,31 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get(CLEANUP, "false") == "false"
 
 
+def test_lines_are_read_in_batches_of_bounded_bytes(spark, monkeypatch, tmp_path):
+    """A task of long texts never gets them all at once; what the session had set holds again afterwards."""
+    sizes, before = str(tmp_path / "sizes"), spark.conf.get(BATCH)
+
+    def noting(step):
+        class Noting(step):
+            def __call__(self, batch):
+                with open(sizes, "a") as f:
+                    f.write(f"{step.__name__} {batch.num_rows} {batch.nbytes}\n")
+                return super().__call__(batch)
+
+        return Noting
+
+    for step in (lines._Lines, lines._Entries, lines._Sets):
+        monkeypatch.setattr(lines, step.__name__, noting(step))
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id % 299, ' common x'), 5000)").alias("text"))
+    got = {r.doc_id: r.removed for r in lines.line_dedup(docs).collect()}
+    assert len(got) == 300 and {d for d, gone in got.items() if gone} == {299}
+    seen = [(name, int(rows), int(size)) for name, rows, size in map(str.split, open(sizes))]
+    for step in ("_Lines", "_Entries"):
+        assert sum(rows for name, rows, _ in seen if name == step) == 300
+    assert max(size for *_, size in seen) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(BATCH) == before
+
+
 def test_lines_odd_rows(spark):
     docs = odd_documents(spark)
     out = lines.drop_lines(docs)

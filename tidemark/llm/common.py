@@ -1,7 +1,9 @@
 """What the operators share: written intermediate tables, word hashing, batch helpers."""
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,31 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Has Spark remove a query's shuffle files when it ends, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds the batches that tasks hand to Python, which stand in the JVM and in Python; a batch ends with the row that reaches it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str, default: str | None = None):
+    """Has ``key`` set while the block runs, then as it was; ``default`` is for keys that may not be set."""
+    before = spark.conf.get(key, default) if default is not None else spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def in_small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a table that runs all its steps before it returns, with batches of ``BATCH_BYTES``."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        with setting(docs.sparkSession, BATCH, f"{BATCH_BYTES}b"):
+            return operator(docs, *args, **kwargs)
+
+    return run
 
 
 class Scratch:
@@ -26,12 +53,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with setting(self.spark, CLEANUP, "true", "false"):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _folder(self, path: str):

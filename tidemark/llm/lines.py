@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, mapped, mix, numbered
+from .common import Scratch, in_small_batches, mapped, mix, numbered
 from .near_dedup import COUNT_BITS, difference_pairs
 
 SIMILARITY = 0.8
@@ -329,6 +329,7 @@ def _differences(percent: int):
     return make
 
 
+@in_small_batches
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None, common: int = COMMON, most_each: float = MOST_EACH) -> DataFrame:
     """row, doc_id, n_lines, removed for each row of ``docs`` (doc_id, text; other columns are ignored).
 
