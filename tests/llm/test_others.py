@@ -178,6 +178,25 @@ def test_lines_of_crowds_equal_brute_force(spark):
     assert 100 < sum(map(len, want.values())) < 580
 
 
+def test_words_that_many_lines_but_few_sets_have_need_no_leaders(spark, monkeypatch):
+    """What goes by leaders costs far more disk, so counts of lines alone don't decide it; very common words still do."""
+    rnd, met, keep = random.Random(4), [], Scratch.keep
+
+    def noting(self, df, name):
+        out = keep(self, df, name)
+        if name == "common":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", noting)
+    texts = [" ".join(f"w{b}-{k}" for k in rnd.sample(range(12), 10)) for b in range(5) for _ in range(3)]
+    docs = [(i, "\n".join(rnd.sample(texts, 6))) for i in range(100)]
+    table, want = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), brute_lines(docs)
+    for kwargs in ({"common": 20}, {"common": 20, "very_common": 20}, {"common": 1}):
+        assert {r.doc_id: r.removed for r in lines.line_dedup(table, most_each=100, **kwargs).collect()} == want
+    assert met[0] == 0 and met[1] > 0 and met[2] > 0
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Files of exchanges go when the table is written, not when the driver collects its garbage."""
 

@@ -26,8 +26,10 @@ SIMILARITY = 0.8
 MOST_SEEN = 200_000
 _SHIFT = np.uint64(64 - COUNT_BITS)
 _SLICE_BITS = 14
-#: A word counted in more lines is met by leaders at once; a part's groups never exceed it.
-COMMON = 4096
+#: A word that more sets have in their prefix is met by leaders at once.
+COMMON = 16_384
+#: A word counted in so many lines isn't sent to a part at all; a part's groups never exceed it.
+VERY_COMMON = 1 << 20
 #: A word whose lines give more candidates each, on average, is met by leaders too.
 MOST_EACH = 2
 #: Entries of a part, about.
@@ -177,8 +179,8 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 class _Entries(_Texts):
     """Blocks of index entries by part, and under negative parts the entries of very common words."""
 
-    def __init__(self, counts: np.ndarray, percent: int, part_bits: int, common: int):
-        self.counts, self.percent, self.part_bits, self.common, self.seen = counts, percent, part_bits, common, set()
+    def __init__(self, counts: np.ndarray, percent: int, part_bits: int, very_common: int):
+        self.counts, self.percent, self.part_bits, self.very_common, self.seen = counts, percent, part_bits, very_common, set()
 
     def __call__(self, batch: pa.RecordBatch):
         for *_, sizes, flat, k, bits in self.parts(batch):
@@ -186,7 +188,7 @@ class _Entries(_Texts):
             entries, often = self.entries(flat[np.repeat(new, sizes)], sizes[new], k[new], bits[new])
             part = (mix(entries["word"]) >> np.uint64(64 - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(entries), np.int64)
             # Blocks of very common words are only handed on, dealt at random.
-            part[often > self.common] = -1 - int(k[:1].sum() >> np.uint64(40))
+            part[often > self.very_common] = -1 - int(k[:1].sum() >> np.uint64(40))
             by = np.argsort(part, kind="stable")
             part, entries = part[by], entries[by]
             firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
@@ -220,18 +222,20 @@ def possible(nx, ix, bx, mx, ny, iy, by, my, percent: int) -> np.ndarray:
     return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - ix, ny - iy) >= need) & ((nx + ny - differ) / 2 >= need)
 
 
-def candidates(entries: np.ndarray, percent: int, most_each: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the pairs of entries of one word that may be similar, and which entries that have a partner are of words that give too many.
+def candidates(entries: np.ndarray, percent: int, most_each: float, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of entries of one word that may be similar, and which entries are of words that go by leaders.
 
+    Those are all entries of a word that more than ``common`` have, and those with a partner of a word that gives too many pairs.
     Entries are sorted by word and n, so that a partner lies few places on. Pairs are kept of a word until it gave too many.
     """
     word, n, i, bits = entries["word"], entries["n"].astype(np.int64), entries["place"].astype(np.int64), entries["bits"].copy()
     more = entries["more"].copy()
     group = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
-    most = most_each * np.bincount(group)
-    given, crowded, partner = np.zeros(len(most), np.int64), np.zeros(len(most), bool), np.zeros(len(entries), bool)
+    sizes = np.bincount(group)
+    most, crowded = most_each * sizes, sizes > common
+    given, partner = np.zeros(len(most), np.int64), crowded[group]
     none, step = np.zeros(0, np.intp), 1
-    left, right, at = [none], [none], np.arange(len(entries))
+    left, right, at = [none], [none], np.flatnonzero(~partner)
     while True:
         at = at[at + step < len(entries)]
         to = at + step
@@ -248,7 +252,7 @@ def candidates(entries: np.ndarray, percent: int, most_each: float) -> tuple[np.
             left.append(a)
             right.append(b)
             given += np.bincount(group[a], minlength=len(most))
-            crowded = given > most
+            crowded |= given > most
         step += 1
     left, right = np.concatenate(left), np.concatenate(right)
     on = ~crowded[group[left]]
@@ -265,8 +269,8 @@ def once(entries: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return a[first], b[first]
 
 
-def _meet(percent: int, most_each: float):
-    """A part's candidate pairs; of a word that gives too many, its entries instead, as pairs without a second."""
+def _meet(percent: int, most_each: float, common: int):
+    """A part's candidate pairs; of a word that goes by leaders, its entries instead, as pairs without a second."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(b, ENTRY) for b in table.column("block").to_pylist()])
@@ -275,7 +279,7 @@ def _meet(percent: int, most_each: float):
             # The same set may come from several tasks.
             entries = entries[np.lexsort((entries["bits"], entries["k"], entries["n"], entries["word"]))]
             entries = entries[np.concatenate([[True], entries[1:] != entries[:-1]])]
-            a, b, crowded = candidates(entries, percent, most_each)
+            a, b, crowded = candidates(entries, percent, most_each, common)
             (a, b), alone = once(entries, a, b), entries[crowded]
         x, y = np.concatenate([entries[a], alone]), entries[b]
         missing = pa.nulls(len(alone), pa.int64())
@@ -330,13 +334,13 @@ def _differences(percent: int):
 
 
 @in_small_batches
-def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None, common: int = COMMON, most_each: float = MOST_EACH) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None = None, common: int = COMMON, most_each: float = MOST_EACH, very_common: int = VERY_COMMON) -> DataFrame:
     """row, doc_id, n_lines, removed for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``removed`` lists the numbers, from 0, of the lines whose set of words has a Jaccard similarity of at least
     ``similarity`` with that of any earlier line; documents are in the order of doc_id (null last), then of row,
     the column that ``row`` names and that has to be written; without one a row id is given as texts are split.
-    ``common`` and ``most_each`` say which words' lines are met by leaders, which changes no result.
+    ``common``, ``most_each`` and ``very_common`` say which words' lines are met by leaders, which changes no result.
     Lines without words are never removed. Null and empty texts have one line; an empty table gives no rows.
     """
     spark, percent = docs.sparkSession, round(100 * similarity)
@@ -352,8 +356,8 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, row: str | None
     held = lines.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     entries = (100 - percent) * held[1] // 100 + held[0]
     part_bits = max(0, int(entries // PART_ENTRIES).bit_length())
-    blocks = mapped(texts, "part long, block binary", lambda: _Entries(often.value, percent, part_bits, common))
-    met = scratch.keep(blocks.groupBy("part").applyInArrow(_meet(percent, most_each), PAIRS), "met")
+    blocks = mapped(texts, "part long, block binary", lambda: _Entries(often.value, percent, part_bits, very_common))
+    met = scratch.keep(blocks.groupBy("part").applyInArrow(_meet(percent, most_each, common), PAIRS), "met")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     classes = scratch.keep(lines.groupBy(*own).agg(F.min(place).alias("place"), F.count("*").alias("copies")), "classes")
 
