@@ -1,3 +1,7 @@
+import io
+import zlib
+
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -60,6 +64,44 @@ def test_wal_records_of_all_sizes():
         assert list(wal.records(wal.build(payloads), wal.RecoveryPolicy.STRICT)) == payloads
 
 
+def test_wal_is_read_by_pieces(monkeypatch):
+    """Neither the end of a segment nor damage is missed at the edge of a piece."""
+    monkeypatch.setattr(wal, "crc32c_batch", lambda values: np.array([zlib.crc32(v) for v in values], np.int64))  # for speed
+    block = wal.BLOCK_BYTES
+    payloads = [b"a" * 20_000, b"b" * 100_000, b"", b"c" * (2 * block), b"d" * 12_000]
+    data = wal.build(payloads)
+    for n in {*range(0, len(data), 9_973), *(wal.HEADER_BYTES + k * block + d for k in range(8) for d in (-8, -7, -1, 0, 1, 7, 8))}:
+        some = data[: max(0, n)]
+        for policy in wal.RecoveryPolicy:
+            got = []
+            for piece in (block, 3 * block, wal.PIECE_BYTES):
+                short = io.BytesIO(some)
+                try:
+                    got.append(list(wal.streamed(lambda k, f=short: f.read(min(k, 5000)), policy, piece)))
+                except CorruptionError as e:
+                    got.append(str(e))
+            assert got[0] == got[1] == got[2]
+    bad = bytearray(data)
+    bad[wal.HEADER_BYTES + 5 * block + 99] ^= 1
+    seen = []
+    with pytest.raises(CorruptionError, match="checksum"):
+        seen.extend(wal.streamed(io.BytesIO(bytes(bad)).read, piece_bytes=block))
+    with pytest.raises(ValueError):
+        list(wal.streamed(io.BytesIO(data).read, piece_bytes=100))
+
+
+def test_wal_source_never_reads_a_whole_segment(tmp_path, monkeypatch):
+    from tidemark.sources import datasource
+
+    (tmp_path / "1.wal").write_bytes(wal.encode_segment((b"k%d" % k, k, 1, b"v" * 50) for k in range(120_000)))
+    sizes, crc = [], wal.crc32c_batch
+    monkeypatch.setattr(wal, "crc32c_batch", lambda values: sizes.append(sum(map(len, values))) or crc(values))
+    reader = datasource.WalReader({"path": str(tmp_path)})
+    (partition,) = reader.partitions()
+    assert sum(b.num_rows for b in reader.read(partition)) == 120_000
+    assert len(sizes) > 1 and max(sizes) <= 4 << 20
+
+
 def test_wal_cut_anywhere_leaves_a_prefix():
     payloads = [b"one", b"two" * 9, b"three"]
     data = wal.build(payloads)

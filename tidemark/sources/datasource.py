@@ -63,11 +63,6 @@ class _Reader(DataSourceReader):
     def partitions(self):
         return [FilePartition(p) for p in listing(self.root, self.suffix)] or [FilePartition("")]
 
-    def bytes_of(self, partition) -> bytes:
-        files, _ = file_system(self.root)
-        with files.open_input_file(partition.path) as f:
-            return f.read()
-
 
 def batches(mutations):
     """Mutations as Arrow batches of a bounded number of rows."""
@@ -83,8 +78,11 @@ class WalReader(_Reader):
     suffix = ".wal"
 
     def read(self, partition):
-        if partition.path:
-            yield from batches(wal.decode_segment(self.bytes_of(partition), self.policy))
+        if not partition.path:
+            return
+        files, _ = file_system(self.root)
+        with files.open_input_file(partition.path) as f:
+            yield from batches(map(wal.decode_mutation, wal.streamed(f.read, self.policy)))
 
 
 class SstReader(_Reader):
